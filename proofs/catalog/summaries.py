@@ -12,6 +12,7 @@ from proofs.registry import proof
 from proofs.views import PAIRS, SETS
 
 GENES = [f"Brand#{i}" for i in range(1, 16)]
+TOP = GENES[:10]
 
 
 def quoted(items):
@@ -92,18 +93,16 @@ def pivot_mean(t):
 
 
 def set_sql(stat):
-    top = ", ".join(f"'{g}'" for g in GENES)
     forms = {
         "flag": "CAST(count(*) FILTER (gene IN ({m})) > 0 AS INT)",
         "count": "count(*) FILTER (gene IN ({m}))",
         "mean": "round(coalesce(avg(vaf) FILTER (gene IN ({m})), 0), 6)",
         "fraction_distinct": "round(count(DISTINCT gene) FILTER (gene IN ({m})) / {k}.0::DOUBLE, 6)",
-        "fraction_count": "round(count(*) FILTER (gene IN ({m})) / nullif({s}, 0)::DOUBLE, 6)",
+        "fraction_count": "round(coalesce(count(*) FILTER (gene IN ({m})) / nullif({s}, 0)::DOUBLE, 0), 6)",
         "interaction": "round(count(*) FILTER (gene IN ({m})) * coalesce(avg(vaf) FILTER (gene IN ({m})), 0), 6)",
     }
-    assert top
     made = [
-        forms[stat].format(m=quoted(members), k=len(members), s=len(set(members) & set(GENES))) + f" AS set_{name}_{stat}"
+        forms[stat].format(m=quoted(members), k=len(members), s=len(set(members) & set(TOP))) + f" AS set_{name}_{stat}"
         for name, members in SETS.items()
     ]
     return "SELECT id, " + ", ".join(made) + " FROM obs GROUP BY id"
@@ -111,7 +110,7 @@ def set_sql(stat):
 
 def set_query(stat):
     def run(t):
-        df = A.summarize(t.obs, "id", A.set_columns("gene", "vaf", SETS, [stat], top=GENES))
+        df = A.summarize(t.obs, "id", A.set_columns("gene", "vaf", SETS, [stat], top=TOP))
         return df if stat in ("flag", "count") else rounded(df, "id")
 
     return run
