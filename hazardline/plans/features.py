@@ -99,7 +99,7 @@ def fit_features(spec: FeatureSpec, subjects: DataFrame, obs: DataFrame, fit_on:
     """Fit top items, categories and means on ``subjects`` (or on ``fit_on``, for self-fitted means)."""
     top = A.top_n_list(obs, spec.item, spec.top_n) if spec.top_n else []
     one_hot = OneHot.fit(subjects, spec.category) if spec.category else None
-    blocks = _blocks(spec, top, one_hot)
+    blocks = _blocks(spec, top, one_hot, subjects, obs)
     wide = _joined(spec, top, one_hot, fit_on if fit_on is not None else subjects, obs)
     open_columns = blocks["numeric"] if spec.impute == "mean" else []
     open_columns = open_columns + (blocks["observed"] if spec.fill == "mean" else [])
@@ -143,21 +143,17 @@ def _zero_columns(spec: FeatureSpec, top: list[str]) -> list[Column]:
     return made
 
 
-def _names(columns: list[Column]) -> list[str]:
-    # alias of a column expression, as the analyser would report it
-    return [c._jc.toString().rsplit(" AS ", 1)[1].strip("`") for c in columns]
-
-
-def _blocks(spec: FeatureSpec, top: list[str], one_hot: OneHot | None) -> dict[str, list[str]]:
+def _blocks(spec: FeatureSpec, top: list[str], one_hot: OneHot | None, subjects: DataFrame, obs: DataFrame) -> dict[str, list[str]]:
+    """Ordered column names per block, as the analyser reports them (no job runs)."""
     extra = (["age_bin"] if spec.age else []) + (["hb_low"] if spec.haemoglobin else [])
-    observed = _names(_observed_columns(spec, top)) + (["val_entropy"] if spec.entropy else [])
+    observed = obs.agg(F.lit(0), *_observed_columns(spec, top)).columns[1:]
     return {
         "numeric": list(spec.numeric),
         "category": one_hot.names() if one_hot else [],
-        "text": _names(_text_columns(spec)),
+        "text": subjects.select(*_text_columns(spec)).columns,
         "extra": extra,
-        "observed": observed,
-        "zero": _names(_zero_columns(spec, top)),
+        "observed": observed + (["val_entropy"] if spec.entropy else []),
+        "zero": obs.agg(F.lit(0), *_zero_columns(spec, top)).columns[1:],
     }
 
 
@@ -177,7 +173,7 @@ def _joined(spec: FeatureSpec, top: list[str], one_hot: OneHot | None, subjects:
         wide = wide.join(A.summarize(obs, spec.key, observed + zero), spec.key, "left")
     if spec.entropy:
         wide = wide.join(A.agg_entropy(obs, spec.key, spec.value, "val_entropy"), spec.key, "left")
-    blocks = _blocks(spec, top, one_hot)
+    blocks = _blocks(spec, top, one_hot, subjects, obs)
     to_zero = blocks["zero"] + (blocks["observed"] if spec.fill == "zero" else [])
     to_zero += list(spec.numeric) if spec.impute == "zero" else []
     return wide.fillna(0, subset=to_zero) if to_zero else wide
