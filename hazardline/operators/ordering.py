@@ -142,29 +142,28 @@ def bucketize(df: DataFrame, col: str, edges: Sequence[float], out: str) -> Data
 class OrderedTable:
     """A table with one row per (group, order value), ready for cumulative columns over that order."""
 
-    def __init__(self, df: DataFrame, order: str, by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET):
+    def __init__(
+        self, df: DataFrame, order: str, by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET, edges: Sequence[float] | None = None
+    ):
         self.order, self.by = order, list(by)
-        self.edges, _ = value_edges(df, order, rows_per_bucket)
+        self.edges = value_edges(df, order, rows_per_bucket)[0] if edges is None else list(edges)
         self.df = bucketize(df, order, self.edges, "__b")
 
-    def running(self, out: str, value: Column, how: str = "sum", backward: bool = False) -> "OrderedTable":
-        """Add ``out``: sum or product of ``value`` from the start (or from the end) up to the row itself."""
+    def running(self, columns: dict[str, Column], how: str = "sum", backward: bool = False) -> "OrderedTable":
+        """Add columns: sum or product of each value from the start (or from the end) up to the row itself."""
         fold = {"sum": F.sum, "product": F.product}[how]
         reach = (0, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, 0)
         inner = Window.partitionBy(*self.by, "__b").orderBy(self.order).rowsBetween(*reach)
-        local = self.df.withColumn(out, fold(value).over(inner))
+        local = self.df.withColumns({out: fold(value).over(inner) for out, value in columns.items()})
         if self.edges:
-            groups = self.by or [F.lit(1)]
             outside = (1, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, -1)
-            totals = self.df.groupBy(*self.by, "__b").agg(fold(value).alias("__t"))
-            carry = totals.withColumn(
-                "__carry", fold("__t").over(Window.partitionBy(*groups).orderBy("__b").rowsBetween(*outside))
-            ).drop("__t")
-            neutral = F.lit(0) if how == "sum" else F.lit(1.0)
-            rest = F.coalesce("__carry", neutral)
-            local = local.join(carry, [*self.by, "__b"]).withColumn(
-                out, F.col(out) + rest if how == "sum" else F.col(out) * rest
-            ).drop("__carry")
+            across = Window.partitionBy(*(self.by or [F.lit(1)])).orderBy("__b").rowsBetween(*outside)
+            totals = self.df.groupBy(*self.by, "__b").agg(*[fold(v).alias(f"__t_{out}") for out, v in columns.items()])
+            carry = totals.select(*self.by, "__b", *[fold(f"__t_{out}").over(across).alias(f"__c_{out}") for out in columns])
+            local = local.join(carry, [*self.by, "__b"])
+            for out in columns:
+                rest = F.coalesce(f"__c_{out}", F.lit(0) if how == "sum" else F.lit(1.0))
+                local = local.withColumn(out, F.col(out) + rest if how == "sum" else F.col(out) * rest).drop(f"__c_{out}")
         self.df = local
         return self
 

@@ -45,7 +45,7 @@ def event_table(labels: DataFrame, time: str, event: str, by: Sequence[str] = ()
 
 def _at_risk(table: DataFrame, time: str, by: Sequence[str], rows_per_bucket: int) -> OrderedTable:
     ordered = OrderedTable(table, time, by, rows_per_bucket)
-    return ordered.running("at_risk", F.col("n_event") + F.col("n_censored"), backward=True)
+    return ordered.running({"at_risk": F.col("n_event") + F.col("n_censored")}, backward=True)
 
 
 def _survival_factor(reverse: bool) -> Column:
@@ -62,7 +62,7 @@ def kaplan_meier(
 ) -> DataFrame:
     """Survival curve (or, reversed, the censoring curve) at every distinct time."""
     ordered = _at_risk(event_table(labels, time, event, by), time, by, rows_per_bucket)
-    return ordered.running("survival", _survival_factor(reverse), "product").result()
+    return ordered.running({"survival": _survival_factor(reverse)}, "product").result()
 
 
 def nelson_aalen(
@@ -70,7 +70,7 @@ def nelson_aalen(
 ) -> DataFrame:
     """Cumulative hazard at every distinct time."""
     ordered = _at_risk(event_table(labels, time, event, by), time, by, rows_per_bucket)
-    return ordered.running("hazard", F.col("n_event").cast("double") / F.col("at_risk").cast("double")).result()
+    return ordered.running({"hazard": F.col("n_event").cast("double") / F.col("at_risk").cast("double")}).result()
 
 
 def censoring_curve(
@@ -90,7 +90,7 @@ def censoring_curve(
         .agg(F.sum("n_event").alias("n_event"), F.sum("n_censored").alias("n_censored"))
     )
     ordered = _at_risk(table, time, by, rows_per_bucket)
-    return ordered.running("g", _survival_factor(True), "product").result().select(*by, time, "at_risk", "g")
+    return ordered.running({"g": _survival_factor(True)}, "product").result().select(*by, time, "at_risk", "g")
 
 
 def ipcw_weights(
@@ -195,12 +195,13 @@ def concordance(
     weight: str | None = None,
     by: Sequence[str] = (),
     rows_per_strip: int = ROWS_PER_STRIP,
+    rows: int | None = None,
 ) -> DataFrame:
     """Weighted concordance per group: ``numerator``, ``denominator`` and their ratio ``cindex``.
 
     Row i counts if it is an event with positive weight; its partners are the rows later in time, and
     those of equal time that are censored. Equal risk scores count one half. ``cindex`` is NULL if no
-    pair is comparable.
+    pair is comparable. ``rows`` saves the count where the caller knows it.
     """
     by = list(by)
     score = F.col(risk).cast("double")
@@ -213,7 +214,7 @@ def concordance(
         F.when(score.isNull() | F.isnan(score), missing).otherwise(score).alias("risk"),
         (is_event * (F.col(weight) if weight else F.lit(1.0))).cast("double").alias("w"),
     )
-    buckets = min(MAX_BUCKETS, math.ceil(df.count() / rows_per_strip))
+    buckets = min(MAX_BUCKETS, math.ceil((df.count() if rows is None else rows) / rows_per_strip))
     if buckets <= 1:
         keys = by or ["__all"]
         parts = _strip_totals(base if by else base.withColumn("__all", F.lit(1)), keys, True).select(*by, "num", "den")
