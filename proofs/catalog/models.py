@@ -1 +1,196 @@
-"""stub"""
+"""Fitted models and the neighbour graph over whole tables."""
+
+from __future__ import annotations
+
+import uuid
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from hazardline.operators import cox, graph, models
+from hazardline.operators import forest as R
+from hazardline.operators.ensemble import fit_per_cluster as fit_clusters
+from hazardline.operators.ensemble import mean_of_all
+from hazardline.operators.importance import permutation_importance as importance
+from hazardline.operators import search
+from hazardline.operators.ordering import stratified_split
+from hazardline.operators.prepare import Standardizer, assemble_features
+from hazardline.plans import features as W
+from hazardline.session import cut_lineage, shared_dir
+from hazardline.sources import tables as T
+from proofs.catalog.preparation import FLAGSHIP
+from proofs.catalog.summaries import rounded
+from proofs.registry import proof
+from proofs.views import TAU
+
+SMALL = R.ForestParams(20, 10, 15, max_depth=6)
+
+
+def train_rows(t, scaled: bool = False, spec=FLAGSHIP):
+    """Labelled subjects as (id, time, event, features) and the feature names, written once for the fit."""
+    subjects = t.subjects.join(t.labelled.select("id", "time", "event"), "id")
+    model = W.fit_features(spec, subjects, t.obs)
+    wide = model.transform(subjects, t.obs, ("time", "event"))
+    if scaled:
+        wide = cut_lineage(wide)
+        wide = Standardizer.fit(wide, model.names).transform(wide)
+    rows = assemble_features(wide, model.names).select("id", "time", "event", "features")
+    return cut_lineage(rows), model.names
+
+
+def unlabelled_rows(t):
+    subjects = t.subjects.join(t.labelled.select("id", "time", "event"), "id")
+    model = W.fit_features(FLAGSHIP, subjects, t.obs)
+    rest = t.subjects.join(t.labels.where("event IS NULL").select("id"), "id", "left_semi")
+    return model.assembled(rest, t.obs), model.names
+
+
+def fitted(t, params):
+    rows, names = train_rows(t)
+    return rows, R.fit_forests(rows, [R.ModelSpec(params)], "features", "time", "event", "id", names=names)
+
+
+def nodes(spark, forests):
+    """Node table of the fitted trees."""
+    rows = [
+        (m, i, n, int(tree.feature[n]) if tree.left[n] != n else None, int(tree.left[n]), int(tree.right[n]), float(tree.size[n]), float(tree.risk[n]))
+        for m, trees in enumerate(forests.trees) for i, tree in enumerate(trees) for n in range(len(tree.feature))
+    ]
+    return spark.createDataFrame(rows, "model int, tree int, node int, feature int, left int, right int, size double, risk double")
+
+
+@proof("survival_forest_fit")
+def survival_forest_fit(t):
+    return nodes(t.spark, fitted(t, SMALL)[1])
+
+
+@proof("extra_survival_trees_fit")
+def extra_survival_trees_fit(t):
+    return nodes(t.spark, fitted(t, R.ForestParams(20, 3, 3, splitter="random", max_depth=6))[1])
+
+
+@proof("survival_forest_score")
+def survival_forest_score(t):
+    rows, forests = fitted(t, SMALL)
+    rest, _ = unlabelled_rows(t)
+    return rest.select("id", forests.score_column("features").alias("risk_score"))
+
+
+@proof("cox_ph")
+def cox_ph(t):
+    rows, names = train_rows(t)
+    model = cox.fit_cox(rows, "features", "time", "event", len(names))
+    return rows.select("id", model.score_column("features").alias("risk_score"))
+
+
+@proof("boosted_clinical_benchmark")
+def boosted_clinical_benchmark(t):
+    spec = replace(FLAGSHIP, text=None, top_n=0, stats=(), item_flags=False, sets={}, pairs=(), density=None)
+    rows, _ = train_rows(t, spec=spec)
+    return models.boosted_benchmark(rows, "features", "time", "event", TAU, rounds=10).transform(rows).select("id", "risk_score")
+
+
+@proof("time_regression")
+def time_regression(t):
+    rows, _ = train_rows(t)
+    return models.time_regression(rows, "features", "time").transform(rows).select("id", "risk_score")
+
+
+@proof("kmeans_clusters")
+def kmeans_clusters(t):
+    clusters = models.fit_kmeans(t.vectors, "v", 4)
+    return models.assign_clusters(clusters, t.vectors, "v").select("vec_id", "cluster")
+
+
+@proof("fit_per_cluster")
+def fit_per_cluster(t):
+    rows, names = train_rows(t, scaled=True)
+    placed = cut_lineage(models.assign_clusters(models.fit_kmeans(rows, "features", 3), rows, "features"))
+    forests = fit_clusters(placed, "cluster", 3, replace(SMALL, n_estimators=8), "features", "time", "event", "id", names)
+    return mean_of_all(forests, placed, "features").select("id", "cluster", "risk_score")
+
+
+@proof("embed_rows")
+def embed_rows(t):
+    pca = models.fit_embedding(t.vectors, "v", 8)
+    return models.embed_rows(pca, t.vectors, "v").select("vec_id", F.posexplode("embedding").alias("pos", "value"))
+
+
+SQL_KNN = """, unit AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM vectors),
+   sims AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.u, b.u), 10) AS sim FROM unit a JOIN unit b ON a.vec_id <> b.vec_id),
+   knn AS (SELECT src, dst, sim, CAST(row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS INT) AS rank FROM sims
+           QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 10)"""
+
+
+@proof("join_all_pairs_similarity", f"{SQL_KNN} SELECT src AS vec_id, round(avg(sim), 6) + 0.0::DOUBLE AS mean_sim FROM sims GROUP BY src")
+def join_all_pairs_similarity(t):
+    return rounded(graph.similarity_to_all(t.vectors, "vec_id", "v"), "vec_id")
+
+
+@proof("knn_graph", f"{SQL_KNN} SELECT src, dst, round(sim, 6) + 0.0::DOUBLE AS sim, rank FROM knn")
+def knn_graph(t):
+    return rounded(graph.knn_graph(t.vectors, "vec_id", "v", 10), "src", "dst", "rank")
+
+
+@proof("top_k_per_group", """SELECT label, vec_id, CAST(row_number() OVER (PARTITION BY label ORDER BY round(v[1], 9) DESC, vec_id) AS INT) AS rank
+    FROM vectors JOIN (SELECT vec_id AS k, label FROM embeddings) e ON vec_id = e.k
+    QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(v[1], 9) DESC, vec_id) <= 10""")
+def top_k_per_group(t):
+    df = t.read("embeddings").select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 9).alias("s"))
+    return graph.top_k_per_group(df, "label", 10, [F.desc("s"), "vec_id"]).select("label", "vec_id", "rank")
+
+
+SQL_HOP = """, {out} AS (SELECT m.dst AS id, p, sum(x.value / sqrt(ds.deg) / sqrt(dd.deg)) AS value
+     FROM (SELECT src, dst FROM knn UNION ALL SELECT vec_id, vec_id FROM vectors) m
+     JOIN {src} x ON x.id = m.src JOIN deg ds ON ds.id = m.src JOIN deg dd ON dd.id = m.dst GROUP BY m.dst, p)"""
+
+
+@proof(
+    "propagate_neighbors",
+    SQL_KNN + """, deg AS (SELECT v.vec_id AS id, 1.0::DOUBLE + count(dst) AS deg FROM vectors v LEFT JOIN knn ON knn.dst = v.vec_id GROUP BY v.vec_id),
+     start AS (SELECT vec_id AS id, p, v[p + 1] AS value FROM vectors, range(64) r(p))"""
+    + SQL_HOP.format(out="one", src="start") + SQL_HOP.format(out="two", src="one")
+    + " SELECT id AS vec_id, CAST(p AS INT) AS pos, round(value, 6) + 0.0::DOUBLE AS value FROM two",
+)
+def propagate_neighbors(t):
+    edges = graph.knn_graph(t.vectors, "vec_id", "v", 10)
+    spread = graph.propagate_neighbors(t.vectors, "vec_id", "v", cut_lineage(edges))
+    return rounded(spread.select("vec_id", F.posexplode("propagated").alias("pos", "value")), "vec_id", "pos")
+
+
+@proof("permutation_importance")
+def permutation_importance(t):
+    rows, names = train_rows(t)
+    parts = stratified_split(rows, "id", "event")
+    train, valid = parts.where("part = 'train'"), parts.where("part = 'valid'")
+    forests = R.fit_forests(train, [R.ModelSpec(replace(SMALL, n_estimators=10))], "features", "time", "event", "id", names=names)
+    return importance(forests, valid, train, "features", "time", "event", "id", names, tau=TAU)
+
+
+GRID = {"n_estimators": [5, 10], "min_samples_split": [10], "min_samples_leaf": [10, 20], "max_features": ["sqrt", "log2"]}
+SPACE = {"n_estimators": (4, 8), "min_samples_split": (2, 20), "min_samples_leaf": (2, 20), "max_features": ["sqrt", "log2"]}
+
+
+@proof("grid_search")
+def grid_search(t):
+    rows, names = train_rows(t)
+    return search.grid_search(rows, GRID, "features", "time", "event", "id", replace(SMALL, max_depth=5), tau=TAU, names=names)
+
+
+@proof("random_search")
+def random_search(t):
+    rows, names = train_rows(t)
+    return search.random_search(rows, 8, SPACE, "features", "time", "event", "id", replace(SMALL, max_depth=5), TAU, names=names)
+
+
+@proof("refit_and_score")
+def refit_and_score(t):
+    rows, names = train_rows(t)
+    base = replace(SMALL, max_depth=5)
+    grid = {"n_estimators": [10], "min_samples_leaf": [10, 20]}
+    table = search.grid_search(rows, grid, "features", "time", "event", "id", base, metric="harrell", names=names)
+    rest, _ = unlabelled_rows(t)
+    scores = search.refit_and_score(table, rows, rest, "features", "time", "event", "id", base, names)
+    path = f"{shared_dir(t.spark)}/refit-{uuid.uuid4().hex}"
+    T.write_scores(scores, path, "id")
+    return T.read_scores(t.spark, path)
