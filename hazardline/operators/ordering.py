@@ -108,6 +108,11 @@ def hash_rank(df: DataFrame, key: str, seed: int = 42, salt: str = "", out: str
 # ---- value order -------------------------------------------------------------------------------
 
 
+def even_shares(n: int, first: int = 1, last: int | None = None) -> Column:
+    """Literal array ``first/n .. last/n``, parsed once instead of built value by value."""
+    return F.expr("array(" + ", ".join(f"{i / n!r}D" for i in range(first, (n if last is None else last + 1))) + ")")
+
+
 def value_edges(df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[list[float], list[int]]:
     """Bucket edges for ``col`` and the buckets that hold a single, very frequent value.
 
@@ -118,8 +123,7 @@ def value_edges(df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET)
     buckets = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket))
     if buckets <= 1:
         return [], []
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    found = df.select(F.percentile_approx(F.col(col).cast("double"), probs, F.lit(20 * buckets))).first()[0]
+    found = df.select(F.percentile_approx(F.col(col).cast("double"), even_shares(buckets), F.lit(20 * buckets))).first()[0]
     return edges_from_quantiles(found)
 
 
@@ -152,12 +156,15 @@ class OrderedTable:
     def running(self, columns: dict[str, Column], how: str = "sum", backward: bool = False) -> "OrderedTable":
         """Add columns: sum or product of each value from the start (or from the end) up to the row itself."""
         fold = {"sum": F.sum, "product": F.product}[how]
-        reach = (0, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, 0)
-        inner = Window.partitionBy(*self.by, "__b").orderBy(self.order).rowsBetween(*reach)
+
+        # backward means the reverse order: a frame open at the far end would be recomputed for every row
+        def along(name: str) -> Column:
+            return F.desc(name) if backward else F.asc(name)
+
+        inner = Window.partitionBy(*self.by, "__b").orderBy(along(self.order)).rowsBetween(Window.unboundedPreceding, 0)
         local = self.df.withColumns({out: fold(value).over(inner) for out, value in columns.items()})
         if self.edges:
-            outside = (1, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, -1)
-            across = Window.partitionBy(*(self.by or [F.lit(1)])).orderBy("__b").rowsBetween(*outside)
+            across = Window.partitionBy(*(self.by or [F.lit(1)])).orderBy(along("__b")).rowsBetween(Window.unboundedPreceding, -1)
             totals = self.df.groupBy(*self.by, "__b").agg(*[fold(v).alias(f"__t_{out}") for out, v in columns.items()])
             carry = totals.select(*self.by, "__b", *[fold(f"__t_{out}").over(across).alias(f"__c_{out}") for out in columns])
             local = local.join(carry, [*self.by, "__b"])

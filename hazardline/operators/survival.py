@@ -28,6 +28,7 @@ from hazardline.operators.ordering import (
     OrderedTable,
     bucketize,
     edges_from_quantiles,
+    even_shares,
 )
 from hazardline.session import cut_lineage
 
@@ -173,7 +174,7 @@ def _grid_totals(cells: DataFrame, by: list[str], n_t: int, n_r: int, r_hot: lis
         *by, "tb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("rb")
     )
     full = dense.join(cells, [*by, "tb", "rb"], "left").fillna(0, subset=["n", "w"])
-    down = Window.partitionBy(*by, "rb").orderBy("tb").rowsBetween(1, Window.unboundedFollowing)
+    down = Window.partitionBy(*by, "rb").orderBy(F.desc("tb")).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*by, "tb").orderBy("rb").rowsBetween(Window.unboundedPreceding, -1)
     none = F.lit(0)
     counted = (
@@ -225,8 +226,8 @@ def concordance(
 
 
 def _bucketed_totals(base: DataFrame, by: list[str], buckets: int) -> DataFrame:
-    probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    found = base.select(*[F.percentile_approx(c, probs, F.lit(20 * buckets)) for c in ("t", "risk")]).first()
+    shares = even_shares(buckets)
+    found = base.select(*[F.percentile_approx(c, shares, F.lit(20 * buckets)) for c in ("t", "risk")]).first()
     (t_edges, t_hot), (r_edges, r_hot) = (edges_from_quantiles(q) for q in found)
     placed = bucketize(bucketize(base, "t", t_edges, "slot"), "risk", r_edges, "rb")
     one_time = F.col("slot").isin(t_hot) if t_hot else F.lit(False)
