@@ -18,9 +18,9 @@ ANOMALY = r"del|inv|t\(|\+|\-"
 TRANSLOCATION = r"t\([\d;]+\)"
 COMPLEX_FROM = 3
 
-# (?U): Java's \w is ASCII-only without it and would blank out accented letters.
-_NOISE = r"(?U)[^\w\d\+\-\(\);]"
-_BLANKS = r"(?U)\s+"
+# Word characters are named by Unicode class: Java's \w is ASCII-only and would blank out accented letters.
+# White space is noise too, so replacing each run of noise by one blank also squeezes the blanks.
+_NOISE = r"[^\p{L}\p{N}_+\-();]+"
 
 
 def _text(col: Column | str) -> Column:
@@ -29,8 +29,7 @@ def _text(col: Column | str) -> Column:
 
 def clean_text(col: Column | str) -> Column:
     """Lower case, blanks for everything but word characters and ``+-();``, squeezed and trimmed."""
-    spaced = F.regexp_replace(F.lower(_text(col)), _NOISE, " ")
-    return F.trim(F.regexp_replace(spaced, _BLANKS, " "))
+    return F.trim(F.regexp_replace(F.lower(_text(col)), _NOISE, " "))
 
 
 def contains_flag(cleaned: Column, marker: str) -> Column:

@@ -196,13 +196,14 @@ def concordance(
     weight: str | None = None,
     by: Sequence[str] = (),
     rows_per_strip: int = ROWS_PER_STRIP,
-    rows: int | None = None,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Weighted concordance per group: ``numerator``, ``denominator`` and their ratio ``cindex``.
 
     Row i counts if it is an event with positive weight; its partners are the rows later in time, and
     those of equal time that are censored. Equal risk scores count one half. ``cindex`` is NULL if no
-    pair is comparable. ``rows`` saves the count where the caller knows it.
+    pair is comparable. ``group_rows``, the size of the largest group, saves a count where
+    the caller knows it: groups that small are counted whole, one task each.
     """
     by = list(by)
     score = F.col(risk).cast("double")
@@ -215,17 +216,21 @@ def concordance(
         F.when(score.isNull() | F.isnan(score), missing).otherwise(score).alias("risk"),
         (is_event * (F.col(weight) if weight else F.lit(1.0))).cast("double").alias("w"),
     )
-    buckets = min(MAX_BUCKETS, math.ceil((df.count() if rows is None else rows) / rows_per_strip))
-    if buckets <= 1:
+    if group_rows is None:
+        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        group_rows = sizes.agg(F.max("n")).first()[0] or 0
+    if group_rows <= rows_per_strip:
         keys = by or ["__all"]
         parts = _strip_totals(base if by else base.withColumn("__all", F.lit(1)), keys, True).select(*by, "num", "den")
     else:
-        parts = _bucketed_totals(cut_lineage(base), by, buckets)
+        parts = _bucketed_totals(cut_lineage(base), by, rows_per_strip)
     totals = parts.groupBy(*by).agg(F.sum("num").alias("numerator"), F.sum("den").alias("denominator"))
     return totals.withColumn("cindex", F.try_divide("numerator", "denominator"))
 
 
-def _bucketed_totals(base: DataFrame, by: list[str], buckets: int) -> DataFrame:
+def _bucketed_totals(base: DataFrame, by: list[str], rows_per_strip: int) -> DataFrame:
+    # buckets over all groups together, so that a strip is bounded however the groups' values differ
+    buckets = max(2, min(MAX_BUCKETS, math.ceil(base.count() / rows_per_strip)))
     shares = even_shares(buckets)
     found = base.select(*[F.percentile_approx(c, shares, F.lit(20 * buckets)) for c in ("t", "risk")]).first()
     (t_edges, t_hot), (r_edges, r_hot) = (edges_from_quantiles(q) for q in found)

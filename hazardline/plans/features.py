@@ -76,17 +76,21 @@ PRESETS["rich30_age"] = replace(PRESETS["rich30"], age="AGE", haemoglobin="HB")
 
 @dataclass(frozen=True)
 class FeatureModel:
-    """Fitted builder. ``names`` is the feature order of every table it transforms."""
+    """Fitted builder. ``blocks`` names the features in the order of every table it transforms."""
 
     spec: FeatureSpec
     top: list[str]
     one_hot: OneHot | None
     imputer: MeanImputer
-    names: list[str]
+    blocks: dict[str, list[str]]
+
+    @property
+    def names(self) -> list[str]:
+        return [n for part in self.blocks.values() for n in part]
 
     def transform(self, subjects: DataFrame, obs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """Key, ``keep`` columns, then every feature as a complete ``double``."""
-        wide = self.imputer.transform(_joined(self.spec, self.top, self.one_hot, subjects, obs))
+        wide = self.imputer.transform(_joined(self.spec, self.top, self.one_hot, self.blocks, subjects, obs))
         return wide.select(self.spec.key, *keep, *[F.col(n).cast("double").alias(n) for n in self.names])
 
     def assembled(self, subjects: DataFrame, obs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -100,11 +104,12 @@ def fit_features(spec: FeatureSpec, subjects: DataFrame, obs: DataFrame, fit_on:
     top = A.top_n_list(obs, spec.item, spec.top_n) if spec.top_n else []
     one_hot = OneHot.fit(subjects, spec.category) if spec.category else None
     blocks = _blocks(spec, top, one_hot, subjects, obs)
-    wide = _joined(spec, top, one_hot, fit_on if fit_on is not None else subjects, obs)
-    open_columns = blocks["numeric"] if spec.impute == "mean" else []
-    open_columns = open_columns + (blocks["observed"] if spec.fill == "mean" else [])
-    imputer = MeanImputer.fit(wide, open_columns)
-    return FeatureModel(spec, top, one_hot, imputer, [n for part in blocks.values() for n in part])
+    source = fit_on if fit_on is not None else subjects
+    numeric = blocks["numeric"] if spec.impute == "mean" else []
+    observed = blocks["observed"] if spec.fill == "mean" else []
+    # without observed columns to fill, the subject table alone has all the means
+    wide = _joined(spec, top, one_hot, blocks, source, obs) if observed else source
+    return FeatureModel(spec, top, one_hot, MeanImputer.fit(wide, numeric + observed), blocks)
 
 
 def build_feature_table(spec: FeatureSpec, subjects: DataFrame, obs: DataFrame) -> DataFrame:
@@ -157,7 +162,9 @@ def _blocks(spec: FeatureSpec, top: list[str], one_hot: OneHot | None, subjects:
     }
 
 
-def _joined(spec: FeatureSpec, top: list[str], one_hot: OneHot | None, subjects: DataFrame, obs: DataFrame) -> DataFrame:
+def _joined(
+    spec: FeatureSpec, top: list[str], one_hot: OneHot | None, blocks: dict[str, list[str]], subjects: DataFrame, obs: DataFrame
+) -> DataFrame:
     made = _text_columns(spec) + (one_hot.columns() if one_hot else [])
     if spec.age:
         # a table without ages gets the second bin throughout; an age outside every bin stays missing until here
@@ -173,7 +180,6 @@ def _joined(spec: FeatureSpec, top: list[str], one_hot: OneHot | None, subjects:
         wide = wide.join(A.summarize(obs, spec.key, observed + zero), spec.key, "left")
     if spec.entropy:
         wide = wide.join(A.agg_entropy(obs, spec.key, spec.value, "val_entropy"), spec.key, "left")
-    blocks = _blocks(spec, top, one_hot, subjects, obs)
     to_zero = blocks["zero"] + (blocks["observed"] if spec.fill == "zero" else [])
     to_zero += list(spec.numeric) if spec.impute == "zero" else []
     return wide.fillna(0, subset=to_zero) if to_zero else wide

@@ -162,7 +162,7 @@ def ensemble_mean(t):
 # ---- text ----------------------------------------------------------------------------------------
 
 SQL_CLEAN = (
-    "trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{M}\\p{N}\\p{Pc}+();-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    "trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_+();-]', ' ', 'g'), '\\s+', ' ', 'g'))"
 )
 SQL_COUNT = "CAST(len(regexp_extract_all({0}, 'del|inv|t\\(|\\+|-')) AS INT)"
 
