@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,12 @@ def mean_columns(item: str, value: str, items: Sequence[str], prefix: str = "mea
     return [F.avg(F.when(F.col(item) == v, F.col(value))).alias(prefix + safe_name(v)) for v in items]
 
 
+def _seen_members(item: str, members: Sequence[str]) -> Column:
+    """How many members occur. One flag each, so that no distinct count has to expand the rows."""
+    flags = [F.coalesce(F.max((F.col(item) == m).cast("int")), F.lit(0)) for m in dict.fromkeys(members)]
+    return reduce(lambda a, b: a + b, flags)
+
+
 SET_STATS = ("flag", "count", "mean", "fraction_distinct", "fraction_count", "interaction")
 
 
@@ -82,7 +89,7 @@ def set_columns(
             "flag": F.max(F.coalesce(inside, F.lit(False)).cast("int")),
             "count": count,
             "mean": mean,
-            "fraction_distinct": F.count_distinct(F.when(inside, F.col(item))) / F.lit(float(len(members))),
+            "fraction_distinct": _seen_members(item, members) / F.lit(float(len(members))),
             "fraction_count": ratio_or_zero(count, F.lit(shared)),
             "interaction": count * mean,
         }

@@ -15,6 +15,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazardline.session import cut_lineage
+
 ROWS_PER_BUCKET = 100_000
 MAX_BUCKETS = 1024
 _ONE = "__all"
@@ -119,12 +121,17 @@ def value_edges(df: DataFrame, col: str, rows_per_bucket: int = ROWS_PER_BUCKET)
     The edges are approximate quantiles, which only affects balance: results downstream are exact
     for any edges. A value that fills more than one quantile gets a bucket of its own.
     """
-    rows = df.select(F.count(col)).first()[0]
+    rows, found = df.select(F.count(col), F.percentile_approx(F.col(col).cast("double"), even_shares(MAX_BUCKETS), F.lit(20 * MAX_BUCKETS))).first()
     buckets = min(MAX_BUCKETS, math.ceil(rows / rows_per_bucket))
     if buckets <= 1:
         return [], []
-    found = df.select(F.percentile_approx(F.col(col).cast("double"), even_shares(buckets), F.lit(20 * buckets))).first()[0]
-    return edges_from_quantiles(found)
+    return edges_from_quantiles(thinned(found, buckets))
+
+
+def thinned(found: Sequence[float], buckets: int) -> list[float]:
+    """The ``buckets - 1`` inner quantiles nearest to even among a finer list of them."""
+    n = len(found) + 1
+    return [found[max(0, round(i * n / buckets) - 1)] for i in range(1, buckets)]
 
 
 def edges_from_quantiles(found: Sequence[float]) -> tuple[list[float], list[int]]:
@@ -152,6 +159,9 @@ class OrderedTable:
         self.order, self.by = order, list(by)
         self.edges = value_edges(df, order, rows_per_bucket)[0] if edges is None else list(edges)
         self.df = bucketize(df, order, self.edges, "__b")
+        if self.edges:
+            # every cumulative column reads the table twice (inside and across buckets)
+            self.df = cut_lineage(self.df)
 
     def running(self, columns: dict[str, Column], how: str = "sum", backward: bool = False) -> "OrderedTable":
         """Add columns: sum or product of each value from the start (or from the end) up to the row itself."""

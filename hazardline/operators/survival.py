@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardline.operators.ordering import (
-    MAX_BUCKETS,
     ROWS_PER_BUCKET,
     OrderedTable,
     bucketize,
@@ -33,6 +32,7 @@ from hazardline.operators.ordering import (
 from hazardline.session import cut_lineage
 
 ROWS_PER_STRIP = 250_000
+MAX_STRIPS = 4096  # the grid has at most twice its square in cells
 TAU = 7.0  # fixed value: evaluation horizon in years
 
 
@@ -217,8 +217,7 @@ def concordance(
         (is_event * (F.col(weight) if weight else F.lit(1.0))).cast("double").alias("w"),
     )
     if group_rows is None:
-        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-        group_rows = sizes.agg(F.max("n")).first()[0] or 0
+        group_rows = largest_group(df, by)
     if group_rows <= rows_per_strip:
         keys = by or ["__all"]
         parts = _strip_totals(base if by else base.withColumn("__all", F.lit(1)), keys, True).select(*by, "num", "den")
@@ -228,9 +227,13 @@ def concordance(
     return totals.withColumn("cindex", F.try_divide("numerator", "denominator"))
 
 
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def _bucketed_totals(base: DataFrame, by: list[str], rows_per_strip: int) -> DataFrame:
     # buckets over all groups together, so that a strip is bounded however the groups' values differ
-    buckets = max(2, min(MAX_BUCKETS, math.ceil(base.count() / rows_per_strip)))
+    buckets = max(2, min(MAX_STRIPS, math.ceil(base.count() / rows_per_strip)))
     shares = even_shares(buckets)
     found = base.select(*[F.percentile_approx(c, shares, F.lit(20 * buckets)) for c in ("t", "risk")]).first()
     (t_edges, t_hot), (r_edges, r_hot) = (edges_from_quantiles(q) for q in found)
@@ -265,7 +268,7 @@ def ipcw_cindex(
     curve_by = [c for c in by if c in train.columns] if train_by is None else list(train_by)
     weighted = ipcw_weights(train, evaluated, time, event, curve_by, tau)
     squared = weighted.withColumn("__w2", F.col("weight") * F.col("weight"))
-    return concordance(squared, time, event, risk, "__w2", by, rows_per_strip)
+    return concordance(squared, time, event, risk, "__w2", by, rows_per_strip, largest_group(evaluated, by))
 
 
 def harrell_cindex(
@@ -292,6 +295,8 @@ def evaluate_by_split(
     scored: DataFrame, part: str, time: str, event: str, risk: str, tau: float | None = TAU, train_value: str = "train"
 ) -> DataFrame:
     """One metric row per part, all weighted by the train part's censoring curve."""
+    # read several times below: the scores are computed once
+    scored = cut_lineage(scored.select(part, time, event, risk))
     train = scored.where(F.col(part) == train_value)
     return ipcw_cindex(train, scored, time, event, risk, tau, by=[part], train_by=[])
 
@@ -303,6 +308,7 @@ def evaluate_by_cluster(
 
     Clusters under ``min_rows`` rows are left out, as no metric is meaningful there.
     """
+    scored = cut_lineage(scored.select(cluster, time, event, *risks))
     sizes = scored.groupBy(cluster).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_rows)
     kept = scored.join(sizes, cluster, "left_semi")
     stacked = kept.select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "hazardline", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution on; ``conf`` keys use ``_`` for ``.``-free overrides."""
+    """A session with adaptive execution on; ``conf`` adds or overrides settings."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
