@@ -66,11 +66,12 @@ def fit_cox(
 ) -> CoxModel:
     d = n_features
     x = F.col(features)
-    moments = df.agg(
-        F.count(F.lit(1)), *[F.avg(x[i]) for i in range(d)], *[F.stddev_pop(x[i]) for i in range(d)]
-    ).first()
-    n, mean = moments[0], np.array(moments[1 : d + 1], float)
-    std = np.array(moments[d + 1 :], float)
+    per_feature = df.select(F.posexplode(x.cast("array<double>")).alias("i", "v")).groupBy("i")
+    moments = {r["i"]: r for r in per_feature.agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).collect()}
+    if not moments:
+        raise ValueError("no events to learn from")
+    n, mean = moments[0]["n"], np.array([moments[i]["m"] for i in range(d)])
+    std = np.array([moments[i]["s"] for i in range(d)])
     std = np.where(std > 0, std, 1.0)
 
     def scale(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,10 +125,11 @@ def fit_cox(
 
         return run
 
-    events = rows.where("ev = 1").agg(*[F.sum(F.col("x")[i]) for i in range(d)]).first()
-    if events[0] is None:
+    of_events = rows.where("ev = 1").select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    sums = {r["i"]: r["v"] for r in of_events.collect()}
+    if not sums:
         raise ValueError("no events to learn from")
-    event_sum = np.array(events, float)
+    event_sum = np.array([sums[i] for i in range(d)])
     beta = previous = np.zeros(d)
     best, step = -np.inf, 0
     while True:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,18 @@ def build_session(app: str = "hazardline", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_code(builder.getOrCreate())
+
+
+def ship_code(spark: SparkSession) -> SparkSession:
+    """Give the workers this package, for clusters where it is not installed. Once per application."""
+    context = spark.sparkContext
+    if not getattr(context, "_hazardline_shipped", False):
+        here = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='hazardline-code-')}/hazardline", "zip", here.parent, here.name)
+        context.addPyFile(archive)
+        context._hazardline_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

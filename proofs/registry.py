@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hazardline.session import ship_code
 from proofs.views import SQL_VIEWS, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,7 +17,7 @@ def proof(name: str, sql: str | None = None):
     """Register ``fn(tables)`` under ``name``; ``sql`` may use the shared views by name."""
 
     def add(fn: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(ship_code(spark), sf_dir))
         if sql:
             ORACLES[name] = SQL_VIEWS + sql.strip()
         return fn
