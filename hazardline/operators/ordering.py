@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -50,22 +51,29 @@ def hash_cuts(df: DataFrame, keys: Sequence[str], by: Sequence[str], targets: Ca
         .where((F.col("__rank") <= F.col("__upto")) & (F.col("__rank") > F.col("__upto") - F.col("__n")))
         .select(*by, "__p", (F.col("__rank") - F.col("__upto") + F.col("__n")).alias("__k"))
     )
-    inside = keyed.join(F.broadcast(marks.select(*by, "__p").distinct()), [*by, "__p"], "left_semi")
+    inside = keyed.join(marks.select(*by, "__p").distinct(), [*by, "__p"], "left_semi")
     ordered = (
         inside.groupBy(*by, "__p", "__h")
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn("__upto", F.sum("__n").over(Window.partitionBy(*by, "__p").orderBy("__h")))
     )
-    found = ordered.join(F.broadcast(marks), [*by, "__p"]).where(
+    found = ordered.join(marks, [*by, "__p"]).where(
         (F.col("__k") <= F.col("__upto")) & (F.col("__k") > F.col("__upto") - F.col("__n"))
     )
     return found.groupBy(*by).agg(F.sort_array(F.collect_list("__h")).alias("cuts"))
 
 
-def _with_cuts(df: DataFrame, cuts: DataFrame, by: Sequence[str]) -> DataFrame:
-    # one row per class: the class count is checked by the caller's contract (labels, or no class)
-    keyed, by = _grouped(df, by)
-    return keyed.join(F.broadcast(cuts), list(by), "left").drop(_ONE)
+def _with_cuts(df: DataFrame, cuts: DataFrame, by: Sequence[str], most: int = 64) -> DataFrame:
+    """Add each row's ``cuts``. Up to ``most`` groups they become literals, so the table is not even joined."""
+    few = cuts.limit(most + 1).collect()
+    if len(few) > most:
+        return df.join(cuts, list(by), "left")
+    chain = F.lit(None).cast("array<string>")
+    for row in few:
+        here = F.array(*[F.lit(h) for h in row["cuts"]])
+        mine = reduce(lambda a, b: a & b, [F.col(c) == F.lit(row[c]) for c in by], F.lit(True))
+        chain = F.when(mine, here).otherwise(chain)
+    return df.withColumn("cuts", chain)
 
 
 def stratified_split(
