@@ -104,6 +104,9 @@ def fit_features(spec: FeatureSpec, subjects: DataFrame, obs: DataFrame, fit_on:
     top = A.top_n_list(obs, spec.item, spec.top_n) if spec.top_n else []
     one_hot = OneHot.fit(subjects, spec.category) if spec.category else None
     blocks = _blocks(spec, top, one_hot, subjects, obs)
+    names = [n for part in blocks.values() for n in part]
+    if len(set(names)) < len(names):
+        raise ValueError(f"feature names collide: {sorted({n for n in names if names.count(n) > 1})}")
     source = fit_on if fit_on is not None else subjects
     numeric = blocks["numeric"] if spec.impute == "mean" else []
     observed = blocks["observed"] if spec.fill == "mean" else []

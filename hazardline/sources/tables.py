@@ -44,7 +44,7 @@ def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> Data
     a number that does not parse raises instead of silently turning into a missing value.
     """
     raw = spark.read.csv(path, header=True, inferSchema=False)
-    present = {name: name for name in raw.columns}
+    present = set(raw.columns)
 
     def typed(field: T.StructField):
         if field.name not in present:
