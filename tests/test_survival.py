@@ -119,3 +119,14 @@ def test_step_lookup(spark):
         for r in O.step_lookup(queries, steps, "t", "v", per_bucket, default=-1.0).collect():
             want = -1.0 if r["t"] < 0 else min(int(r["t"] // 3) * 3, 99) / 100
             assert r["v"] == pytest.approx(want)
+
+
+def test_evaluator(labels):
+    from hazardline.operators.evaluator import ConcordanceEvaluator
+
+    scored = labels.withColumnRenamed("risk", "risk_score")
+    assert ConcordanceEvaluator().evaluate(scored) == pytest.approx(13 / 14)
+    assert ConcordanceEvaluator(train=labels, tau=3.5).evaluate(scored) == pytest.approx(15 / 17)
+    assert ConcordanceEvaluator().isLargerBetter()
+    with pytest.raises(ValueError, match="no comparable pairs"):
+        ConcordanceEvaluator().evaluate(scored.withColumn("event", F.lit(0)))
