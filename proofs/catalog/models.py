@@ -26,8 +26,8 @@ from proofs.views import TAU
 SMALL = R.ForestParams(20, 10, 15, max_depth=6)
 
 
-def train_rows(t, scaled: bool = False, spec=FLAGSHIP):
-    """Labelled subjects as (id, time, event, features) and the feature names, written once for the fit."""
+def cohort_rows(t, scaled: bool = False, spec=FLAGSHIP):
+    """Labelled subjects as (id, time, event, features), written once for the fits, and the fitted builder."""
     subjects = t.subjects.join(t.labelled.select("id", "time", "event"), "id")
     model = W.fit_features(spec, subjects, t.obs)
     wide = model.transform(subjects, t.obs, ("time", "event"))
@@ -35,19 +35,23 @@ def train_rows(t, scaled: bool = False, spec=FLAGSHIP):
         wide = cut_lineage(wide)
         wide = Standardizer.fit(wide, model.names).transform(wide)
     rows = assemble_features(wide, model.names).select("id", "time", "event", "features")
-    return cut_lineage(rows), model.names
+    return cut_lineage(rows), model
 
 
-def unlabelled_rows(t):
-    subjects = t.subjects.join(t.labelled.select("id", "time", "event"), "id")
-    model = W.fit_features(FLAGSHIP, subjects, t.obs)
+def train_rows(t, scaled: bool = False, spec=FLAGSHIP):
+    rows, model = cohort_rows(t, scaled, spec)
+    return rows, model.names
+
+
+def unlabelled_rows(t, model):
+    """Rows of the subjects without a label, built by the model fitted on the labelled ones."""
     rest = t.subjects.join(t.labels.where("event IS NULL").select("id"), "id", "left_semi")
-    return model.assembled(rest, t.obs), model.names
+    return model.assembled(rest, t.obs)
 
 
 def fitted(t, params):
-    rows, names = train_rows(t)
-    return rows, R.fit_forests(rows, [R.ModelSpec(params)], "features", "time", "event", "id", names=names)
+    rows, model = cohort_rows(t)
+    return model, R.fit_forests(rows, [R.ModelSpec(params)], "features", "time", "event", "id", names=model.names)
 
 
 def nodes(spark, forests):
@@ -71,9 +75,8 @@ def extra_survival_trees_fit(t):
 
 @proof("survival_forest_score")
 def survival_forest_score(t):
-    rows, forests = fitted(t, SMALL)
-    rest, _ = unlabelled_rows(t)
-    return rest.select("id", forests.score_column("features").alias("risk_score"))
+    model, forests = fitted(t, SMALL)
+    return unlabelled_rows(t, model).select("id", forests.score_column("features").alias("risk_score"))
 
 
 @proof("cox_ph")
@@ -185,12 +188,11 @@ def random_search(t):
 
 @proof("refit_and_score")
 def refit_and_score(t):
-    rows, names = train_rows(t)
-    base = replace(SMALL, max_depth=5)
+    rows, model = cohort_rows(t)
+    names, base = model.names, replace(SMALL, max_depth=5)
     grid = {"n_estimators": [10], "min_samples_leaf": [10, 20]}
     table = search.grid_search(rows, grid, "features", "time", "event", "id", base, metric="harrell", names=names)
-    rest, _ = unlabelled_rows(t)
-    scores = search.refit_and_score(table, rows, rest, "features", "time", "event", "id", base, names)
+    scores = search.refit_and_score(table, rows, unlabelled_rows(t, model), "features", "time", "event", "id", base, names)
     path = f"{shared_dir(t.spark)}/refit-{uuid.uuid4().hex}"
     T.write_scores(scores, path, "id")
     return T.read_scores(t.spark, path)
