@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from hazardline.functions import vectors as V
@@ -86,7 +84,7 @@ def _flagship_sql(labelled: bool) -> str:
     return f""", base AS ({base}), ranked AS (SELECT o.*, k FROM obs o JOIN {top} t ON o.gene = t.gene),
       per AS (SELECT id, count(*) AS n, avg(vaf) AS m, max(vaf) AS x, count(*) FILTER (chr = '7') / 1000.0::DOUBLE AS d,
                 {sets}, {pairs}, {ranks} FROM ranked GROUP BY id)
-      SELECT s.id{extra}, {', '.join(outs)} FROM base s LEFT JOIN per ON s.id = per.id {join.replace('ON s.id', 'ON s.id')}"""
+      SELECT s.id{extra}, {', '.join(outs)} FROM base s LEFT JOIN per ON s.id = per.id {join}"""
 
 
 def flagship(t, labelled: bool):

@@ -140,8 +140,7 @@ def co_occurrence(t):
 
 @proof(
     "column_moments",
-    " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(var_pop({c}) / 1e6, 4) AS var_pop FROM subjects" for c in ("x1", "x2", "x3"))
-    .replace("var_pop(x2) / 1e6", "var_pop(x2) / 1e6"),
+    " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(var_pop({c}) / 1e6, 4) AS var_pop FROM subjects" for c in ("x1", "x2", "x3")),
 )
 def column_moments(t):
     df = A.column_moments(t.subjects, ["x1", "x2", "x3"])
