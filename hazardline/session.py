@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,3 +60,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder so that later jobs reread it, whatever executors are lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, and later reads prune columns.
+
+    The files go when the session ends, or earlier by ``drop_staged``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    context = spark.sparkContext
+    if not hasattr(context, "_hazardline_staged"):
+        context._hazardline_staged = []
+        atexit.register(_drop_quietly, context)
+    context._hazardline_staged.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop_quietly(context) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended already
+        _drop(context, context._hazardline_staged)
+
+
+def _drop(context, paths: list[str]) -> None:
+    for path in paths:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete the files of tables from ``stage_table`` that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        gone = [p for p in getattr(context, "_hazardline_staged", []) if any(f.startswith(p) or p in f for f in table.inputFiles())]
+        _drop(context, gone)
+        context._hazardline_staged = [p for p in context._hazardline_staged if p not in gone]
