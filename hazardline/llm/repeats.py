@@ -104,11 +104,12 @@ def repeated_ranges(texts: DataFrame, shape: Shape, resolve: Callable[[DataFrame
     """
     schema = output(texts, "mark long, seed long, span long, start int, count int")
     found = stage_table(texts.mapInArrow(_scan(shape, arrow_schema(schema)), schema), "spans")
-    shared = found.groupBy("seed").count().where("count > 1").select("seed")
+    # staged, as a join can only split a hot seed if both its sides come straight from a shuffle
+    shared = stage_table(found.groupBy("seed").count().where("count > 1").select("seed"), "shared")
     hits = stage_table(found.join(shared, "seed"), "hits")
     spans = hits.groupBy("seed", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "start", "count")).alias("one"))
     spans = stage_table(spans, "kinds")
-    mixed = spans.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1").select("seed", "kinds")
+    mixed = stage_table(spans.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1").select("seed", "kinds"), "mixed")
     needed = (
         spans.join(mixed, "seed")
         .groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.mark").alias("mark"))
@@ -155,6 +156,6 @@ def by_frames(texts: DataFrame, needed: DataFrame, shape: Shape) -> DataFrame:
     schema = output(texts, "mark long, seed long, n long, start int, frames array<long>")
     frames = stage_table(with_text(texts, needed).mapInArrow(_frames(shape, arrow_schema(schema)), schema), "frames")
     each = frames.select("doc_id", "mark", "seed", "n", "start", F.posexplode("frames").alias("i", "frame"))
-    again = each.groupBy("seed", "frame").agg(F.sum("n").alias("times")).where("times > 1").select("seed", "frame")
+    again = stage_table(each.groupBy("seed", "frame").agg(F.sum("n").alias("times")).where("times > 1").select("seed", "frame"), "again")
     start = F.col("start") + F.col("i")
     return each.where("n = 1").join(again, ["seed", "frame"]).select("doc_id", "mark", start.alias("start"), (start + shape.window).alias("end"))
