@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hazardline.llm.substring import substring_dedup
+from hazardline.llm.suffixes import suffix_dedup
 from hazardline.session import ship_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,8 @@ def query(name: str, sql: str | None = None):
 @query("op1_substring_dedup")
 def op1(table):
     return substring_dedup(table("documents")).drop("kept", "spans")
+
+
+@query("op9_suffix_dedup")
+def op9(table):
+    return suffix_dedup(table("documents")).drop("kept")
