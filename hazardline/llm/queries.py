@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hazardline.llm.near_copies import near_copies
 from hazardline.llm.substring import substring_dedup
 from hazardline.llm.suffixes import suffix_dedup
 from hazardline.session import ship_code
@@ -32,3 +33,8 @@ def op1(table):
 @query("op9_suffix_dedup")
 def op9(table):
     return suffix_dedup(table("documents")).drop("kept")
+
+
+@query("op10_near_copies")
+def op10(table):
+    return near_copies(table("documents")).drop("copy")
