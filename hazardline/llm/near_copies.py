@@ -4,7 +4,8 @@ Document frequencies are counted over all documents into a fixed number of hashe
 the same few MB at any size. A sample is the shingle with the smallest draw ``c / (y e^r)``, where y is the largest
 weight below its own on a random log grid; two documents have an equal sample with the probability of their weighted
 Jaccard similarity. Candidates are the members of a band's bucket, each compared with the bucket's leader only; those
-that fail are put together again under a new leader until no bucket has two, so no bucket forms all its pairs.
+that fail meet again under eight times as many new leaders, and so on until none is left, so a group of copies of any
+size costs one comparison a member.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardline.llm.arrays import ALPHANUMERIC, LOWER, Words, buffers, long_array, mix, slices
@@ -24,6 +25,7 @@ SHINGLE = 5
 BUCKET_BITS = 18
 _ID = np.uint64((1 << 48) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_MASK = (1 << 64) - 1
 
 
 def _gamma_table() -> np.ndarray:
@@ -89,7 +91,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 def samples(keys: np.ndarray, text: np.ndarray, ident: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k-th sample: (texts that have shingles, a hash of their sampled shingle and grid step)."""
-    draw = mix(ident + np.uint64(k + 1) * _STEP)
+    draw = mix(ident + np.uint64((k + 1) * int(_STEP) & _MASK))
     r = _GAMMA[draw & np.uint64(0xFFFF)]
     log_c = _LOG_GAMMA[(draw >> np.uint64(16)) & np.uint64(0xFFFF)]
     beta = ((draw >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
@@ -99,7 +101,7 @@ def samples(keys: np.ndarray, text: np.ndarray, ident: np.ndarray, weight: np.nd
     least = np.minimum.reduceat(rank, start)
     hit = np.flatnonzero(rank == np.repeat(least, np.diff(np.append(start, len(text)))))
     hit = hit[np.append(True, text[hit[1:]] != text[hit[:-1]])]
-    return text[hit], mix(ident[hit] + mix(step[hit].astype(np.int64).view(np.uint64) + np.uint64(k) * _STEP))
+    return text[hit], mix(ident[hit] + mix(step[hit].astype(np.int64).view(np.uint64) + np.uint64(k * int(_STEP) & _MASK)))
 
 
 def _sign(idf, bands: int, rows: int, schema: pa.Schema) -> Callable:
@@ -200,19 +202,26 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows:
     bodies = stage_table(bodies, "bodies")
     links = checked = None
     pair = output(docs.select("copy"), "leader string, similarity double", "copy")
+    leading = 1
     while not open_.isEmpty():
-        order = F.struct(F.xxhash64("copy", "band").alias("order"), "copy")
-        leaders = stage_table(open_.groupBy("band", "key").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "key", F.col("first.copy").alias("leader")), "leaders")
-        members = stage_table(open_.join(leaders, ["band", "key"]).where("copy <> leader"), "members")
-        pairs = members.select("copy", "leader").distinct()
+        place = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.xxhash64("copy", "band"), "copy"))
+        first = open_.withColumn("place", place).where(F.col("place") <= leading)
+        leaders = stage_table(first.select("band", "key", F.col("copy").alias("leader"), "place"), "leaders")
+        own = leaders.select("band", "key", F.col("leader").alias("copy"), F.col("place").alias("own"))
+        # a leader meets the leaders before it; every other member meets all of them
+        members = open_.join(own, ["band", "key", "copy"], "left").join(leaders, ["band", "key"]).where("own is null or own > place")
+        members = stage_table(members.select("band", "key", "copy", "leader", "own"), "members")
+        pairs = members.select(F.least("copy", "leader").alias("copy"), F.greatest("copy", "leader").alias("leader")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["copy", "leader"], "left_anti")
         with_bodies = pairs.join(bodies, "copy").join(bodies.select(F.col("copy").alias("leader"), F.col("text").alias("other")), "leader")
         now = stage_table(with_bodies.select("copy", "leader", "text", "other").mapInArrow(_verify(idf, arrow_schema(pair)), pair), "checked")
         checked = now if checked is None else checked.unionByName(now)
         links = checked.where(F.col("similarity") >= threshold).select("copy", "leader")
-        left = members.join(links, ["copy", "leader"], "left_anti").select("copy", "band", "key")
-        open_ = stage_table(left, "open")
+        tied = links.union(links.select("leader", "copy")).withColumn("tied", F.lit(True))
+        left = members.where("own is null").join(tied, ["copy", "leader"], "left").groupBy("band", "key", "copy").agg(F.count("tied").alias("ties"))
+        open_ = stage_table(left.where("ties = 0").select("band", "key", "copy"), "open")
+        leading *= 8
     if links is None:
         roots = texts.select("copy", F.col("copy").alias("root"), "doc_id", "n")
     else:
