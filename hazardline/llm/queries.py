@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from hazardline.llm import mixing
+from hazardline.llm.contamination import contamination
 from hazardline.llm.near_copies import near_copies
+from hazardline.llm.quality import fit_quality, held_out, quality_scores
+from hazardline.llm.secrets import secret_scan
 from hazardline.llm.substring import substring_dedup
 from hazardline.llm.suffixes import suffix_dedup
 from hazardline.session import ship_code
@@ -38,3 +43,26 @@ def op9(table):
 @query("op10_near_copies")
 def op10(table):
     return near_copies(table("documents")).drop("copy")
+
+
+@query("op6_contamination")
+def op6(table):
+    return contamination(table("documents"), table("benchmark")).drop("items", "spans")
+
+
+@query("op8_secret_scan")
+def op8(table):
+    return secret_scan(table("documents"))
+
+
+@query("op4_quality")
+def op4(table):
+    labels = table("labels").select("doc_id", F.col("quality").alias("label")).where(~held_out("doc_id"))
+    docs = table("documents")
+    scored = quality_scores(docs, fit_quality(docs, labels))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op2_mixing", mixing.ORACLE)
+def op2(table):
+    return mixing.mix_sources(table("documents")).select("doc_id", "size", "source_size", "target", "taken")
