@@ -1,9 +1,85 @@
-"""Placeholder until the stages exist."""
+"""From raw documents to a training mix: five stages, each on all that the one before kept.
 
-from hazardline.llm import queries  # noqa: F401
+Each stage takes (spark, docs, sf_dir) and returns the columns of ``documents`` (the last one adds those of the mix).
+"""
 
-STAGES = []
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from hazardline.llm.contamination import contamination
+from hazardline.llm.mixing import mixed_documents
+from hazardline.llm.near_copies import near_copies
+from hazardline.llm.quality import fit_quality, held_out, quality_scores
+from hazardline.llm.secrets import secret_scan
+from hazardline.session import ship_code, stage_table
+
+#: A document with a lower score is rejected.
+QUALITY = 0.7
+MASK = "[secret]"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from labelled documents among these, but for the held-out ones."""
+    labels = ship_code(spark).read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    weights = fit_quality(docs, labels.where(~held_out("doc_id")))
+    return quality_scores(docs, weights).where(F.col("score") >= QUALITY).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the one with the smallest id. Rows without a text or an id stay."""
+    ship_code(spark)
+    classes = near_copies(docs)
+    first = classes.where("doc_id = class_id and copy is not null").groupBy("class_id").agg(F.min("copy").alias("copy"))
+    first = stage_table(first.withColumnRenamed("class_id", "doc_id"), "first")
+    key = F.md5(F.col("text").cast("binary"))
+    whole = docs.where("doc_id is not null and text is not null").withColumn("copy", key)
+    kept = whole.join(first, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"]).select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null or text is null"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the runs of words that occur in the benchmark."""
+    benchmark = ship_code(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    return _with_text(docs, contamination(docs, benchmark, cut=True, carry=others), "clean")
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    ship_code(spark)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    return _with_text(docs, secret_scan(docs, mask=MASK, carry=others), "masked")
+
+
+def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
+    changed = changed.withColumn("text", F.col(text))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return changed.select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, with how often each is taken."""
+    ship_code(spark)
+    return mixed_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("secret scans", without_secrets),
+    ("mixing sources", mixed),
+]
+#: SQL has no near-copy classes and no trained classifier; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over ``documents``, each written as Parquet and read again."""
+    docs = ship_code(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

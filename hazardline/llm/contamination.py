@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazardline.llm.arrays import ALPHANUMERIC, LOWER, Words, buffers, covered, runs, slices
-from hazardline.llm.repeats import RANGE, arrow_schema, output
+from hazardline.llm.repeats import RANGE, arrow_schema
 
 WINDOW = 10
 #: Text of the items in one block of phrases; the broadcast of a block is a small multiple of it.
@@ -177,7 +178,7 @@ def occurrences(words: Words, block: dict) -> Iterator[tuple[np.ndarray, np.ndar
         yield phrase, at[index.locate(where)], length, block["owners"][length]
 
 
-def _mark(blocks: list, cut: bool, schema: pa.Schema) -> Callable:
+def _mark(blocks: list, cut: bool, kept: list[str], schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             data, offsets = buffers(batch.column("text"))
@@ -203,7 +204,7 @@ def _mark(blocks: list, cut: bool, schema: pa.Schema) -> Callable:
             columns = [np.diff(words.first), count, [len(x) for x in ordered], digest, count > 0, ordered, spans]
             if cut:
                 columns.append([_without(t, x) for t, x in zip(batch.column("text").to_pylist(), bytes_, strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[len(kept) :], strict=True))], schema=schema)
 
     return run
 
@@ -218,15 +219,15 @@ def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join([*out, raw[done:]]).decode()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, cut: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, cut: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans[, clean]).
 
     Words are lower-cased (A-Z) runs of letters and digits of whole texts. Every ten words of an item of ``benchmark``
     (item_id, text), or all words of a shorter one, are a phrase; a document's word inside any occurrence of one is hit.
     ``items`` are the ids with occurring phrases, sorted as strings, ``spans`` the merged runs of hit words; with
     ``cut``, ``clean`` is the text without these runs. Null and empty texts have no words; items without words match
-    nothing; repeated rows and ids are each judged alone; a null item id counts as the empty string; other columns are
-    ignored.
+    nothing; repeated rows and ids are each judged alone; a null item id counts as the empty string; of other columns
+    those named in ``carry`` come along after doc_id.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
@@ -238,5 +239,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cut: bool = False) -> D
         block = _block([(r.item_id, r.text) for r in rows])
         if block:
             blocks.append(spark.sparkContext.broadcast(block))
-    schema = output(docs, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans " + RANGE + (", clean string" if cut else ""))
-    return docs.select("doc_id", "text").mapInArrow(_mark(blocks, cut, arrow_schema(schema)), schema)
+    columns = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans " + RANGE + (", clean string" if cut else "")
+    kept = ["doc_id", *carry]
+    schema = T.StructType([docs.schema[c] for c in kept] + T.StructType.fromDDL(columns).fields)
+    return docs.select("doc_id", *(c for c in carry if c != "text"), "text").mapInArrow(_mark(blocks, cut, kept, arrow_schema(schema)), schema)

@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazardline.llm.arrays import NON_BLANK, Words, buffers, mix, slices
-from hazardline.llm.repeats import arrow_schema, output
+from hazardline.llm.repeats import arrow_schema
 
 BITS = 18
 #: Labelled rows to learn from, at most; the rows with the smallest hash are taken.
@@ -70,17 +71,16 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def train(column: pa.Array, labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights after one update per example and epoch; each label counts half of the whole."""
+    """Weights after one update per example and epoch."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     row, feature, value = features(*buffers(column))
     ends = np.searchsorted(row, np.arange(len(labels) + 1))
-    share = np.bincount(labels, minlength=2) / max(len(labels), 1)
     for _ in range(epochs):
         for i, label in enumerate(labels):
             f, x = feature[ends[i] : ends[i + 1]], value[ends[i] : ends[i + 1]]
             w = _weights(z[f], n[f])
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
-            g = (p - label) * x * min(4.0, 0.5 / share[label])
+            g = (p - label) * x
             step = (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / ALPHA
             z[f] += g - step * w
             n[f] += g * g
@@ -116,19 +116,21 @@ def _score(weights, schema: pa.Schema) -> Callable:
         for batch in slices(batches, "text", 1 << 19):
             row, feature, value = features(*buffers(batch.column("text")))
             score = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[feature], batch.num_rows), -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(score)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], schema=schema)
 
     return run
 
 
 def quality_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, text, score) for every row of ``docs``: the dot product of its features with the weights, as a probability.
+    """``docs`` with a score for every row: the dot product of its features with the weights, as a probability.
 
-    A null or empty text has the constant feature only. Ids may repeat; other columns are ignored.
+    A null or empty text has the constant feature only. Ids may repeat; other columns are carried along, but for one
+    named score, which is replaced.
     """
-    schema = output(docs, "text string, score double")
+    docs = docs.drop("score")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    return docs.select("doc_id", "text").mapInArrow(_score(shared, arrow_schema(schema)), schema)
+    return docs.mapInArrow(_score(shared, arrow_schema(schema)), schema)
 
 
 def held_out(doc_id):

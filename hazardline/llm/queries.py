@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from hazardline.llm import mixing
 from hazardline.llm.contamination import contamination
 from hazardline.llm.near_copies import near_copies
+from hazardline.llm.neighbours import nearest
 from hazardline.llm.quality import fit_quality, held_out, quality_scores
 from hazardline.llm.secrets import secret_scan
 from hazardline.llm.substring import substring_dedup
 from hazardline.llm.suffixes import suffix_dedup
+from hazardline.llm.url_filter import url_verdicts
+from hazardline.llm.wrappers import extract
 from hazardline.session import ship_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +69,18 @@ def op4(table):
 @query("op2_mixing", mixing.ORACLE)
 def op2(table):
     return mixing.mix_sources(table("documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_url_filter")
+def op3(table):
+    return url_verdicts(table("pages"))
+
+
+@query("op5_html_extraction")
+def op5(table):
+    return extract(table("pages"))
+
+
+@query("op7_neighbours")
+def op7(table):
+    return nearest(table("embeddings"))

@@ -9,8 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-
-from hazardline.llm.repeats import output
+from pyspark.sql import types as T
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The patterns whose matches are always secrets, in the order of their names in a tie.
@@ -65,7 +64,7 @@ def _said(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
 
-def secret_scan(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = 2.0, mask: str | None = None) -> DataFrame:
+def secret_scan(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = 2.0, mask: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): (doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans[, masked]).
 
     ``assign``, ``access`` and ``hex`` are the leftmost matches of fixed patterns; ``random`` are unbroken strings of 16
@@ -73,7 +72,7 @@ def secret_scan(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = 2.
     ``vocabulary``; digests in hex, UUIDs and identifiers made of words and short numbers are not. ``spans`` lists
     kind:start:end in code points, end exclusive, by start and then kind; ``base_sha256`` hashes those of the fixed
     patterns. With ``mask``, ``masked`` is the text with each span (overlaps merged) replaced by it. A null text counts
-    as empty and stays null when masked; ids may repeat; other columns are ignored.
+    as empty and stays null when masked; ids may repeat; of other columns those named in ``carry`` come along after doc_id.
     """
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,12 +89,14 @@ def secret_scan(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = 2.
                     row.append(masked(given, every, mask))
                 rows.append(row)
             out = pd.DataFrame(rows, columns=names, dtype=object)
-            out.insert(0, "doc_id", frame["doc_id"].array)
+            for at, column in enumerate(["doc_id", *carry]):
+                out.insert(at, column, frame[column].array)
             yield out
 
     columns = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string" + (", masked string" if mask is not None else "")
     names = [c.split()[0] for c in columns.split(", ")]
-    return docs.select("doc_id", "text").mapInPandas(scan, output(docs, columns))
+    schema = T.StructType([docs.schema[c] for c in ["doc_id", *carry]] + T.StructType.fromDDL(columns).fields)
+    return docs.select("doc_id", *(c for c in carry if c != "text"), "text").mapInPandas(scan, schema)
 
 
 def masked(text: str | None, spans: list[tuple[int, int, int]], mask: str) -> str | None:
