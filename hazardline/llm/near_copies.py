@@ -4,8 +4,8 @@ Document frequencies are counted over all documents into a fixed number of hashe
 the same few MB at any size. A sample is the shingle with the smallest draw ``c / (y e^r)``, where y is the largest
 weight below its own on a random log grid; two documents have an equal sample with the probability of their weighted
 Jaccard similarity. Candidates are the members of a band's bucket, each compared with the bucket's leader only; those
-that fail meet again under eight times as many new leaders, and so on until none is left, so a group of copies of any
-size costs one comparison a member.
+that are not yet in its class by any link meet again under eight times as many new leaders, and so on until none is
+left, so a group of copies of any size costs a few comparisons a member.
 """
 
 from __future__ import annotations
@@ -218,18 +218,22 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows:
         now = stage_table(with_bodies.select("copy", "leader", "text", "other").mapInArrow(_verify(idf, arrow_schema(pair)), pair), "checked")
         checked = now if checked is None else checked.unionByName(now)
         links = checked.where(F.col("similarity") >= threshold).select("copy", "leader")
-        tied = links.union(links.select("leader", "copy")).withColumn("tied", F.lit(True))
-        left = members.where("own is null").join(tied, ["copy", "leader"], "left").groupBy("band", "key", "copy").agg(F.count("tied").alias("ties"))
-        open_ = stage_table(left.where("ties = 0").select("band", "key", "copy"), "open")
+        # a member is done once it is in the class of one of its leaders, by whatever links
+        roots = stage_table(components(links, "copy", "leader"), "roots")
+        sides = members.where("own is null").select("band", "key", "copy", "leader")
+        sides = sides.join(roots.select(F.col("node").alias("copy"), F.col("root").alias("a")), "copy", "left")
+        sides = sides.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("b")), "leader", "left")
+        tied = F.coalesce("a", "copy") == F.coalesce("b", "leader")
+        left = sides.groupBy("band", "key", "copy").agg(F.bool_or(tied).alias("tied"))
+        open_ = stage_table(left.where("not tied").select("band", "key", "copy"), "open")
         leading *= 8
     if links is None:
-        roots = texts.select("copy", F.col("copy").alias("root"), "doc_id", "n")
+        ends = texts.select("copy", F.col("copy").alias("root"), "doc_id", "n")
     else:
-        found = components(links, "copy", "leader")
-        roots = texts.join(found.withColumnRenamed("node", "copy"), "copy", "left").select("copy", F.coalesce("root", "copy").alias("root"), "doc_id", "n")
-    roots = stage_table(roots, "roots")
-    classes = stage_table(roots.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size")), "classes")
-    of_text = stage_table(roots.join(classes, "root").select("copy", "class_id", "class_size"), "of_text")
+        ends = texts.join(roots.withColumnRenamed("node", "copy"), "copy", "left").select("copy", F.coalesce("root", "copy").alias("root"), "doc_id", "n")
+    ends = stage_table(ends, "ends")
+    classes = stage_table(ends.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size")), "classes")
+    of_text = stage_table(ends.join(classes, "root").select("copy", "class_id", "class_size"), "of_text")
     alone = F.col("copy").isNull()
     return signed.select("doc_id", "copy").join(of_text, "copy", "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("class_size")).alias("class_size"), "copy"
