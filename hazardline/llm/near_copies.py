@@ -5,7 +5,9 @@ the same few MB at any size. A sample is the shingle with the smallest draw ``c
 weight below its own on a random log grid; two documents have an equal sample with the probability of their weighted
 Jaccard similarity. Candidates are the members of a band's bucket, each compared with the bucket's leader only; those
 that are not yet in its class by any link meet again under eight times as many new leaders, and so on until none is
-left, so a group of copies of any size costs a few comparisons a member.
+left, so a group of copies of any size costs a few comparisons a member. From the second round on, members must share a
+second band as well, which texts that only have a common passage rarely do: of pairs at the threshold itself, 96 % of
+those that the first round met do, and of pairs at 0.9 all but one in a thousand.
 """
 
 from __future__ import annotations
@@ -225,7 +227,12 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows:
         sides = sides.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("b")), "leader", "left")
         tied = F.coalesce("a", "copy") == F.coalesce("b", "leader")
         left = sides.groupBy("band", "key", "copy").agg(F.bool_or(tied).alias("tied"))
-        open_ = stage_table(left.where("not tied").select("band", "key", "copy"), "open")
+        left = left.where("not tied").select("band", "key", "copy")
+        if leading == 1:
+            again = F.posexplode("bands").alias("other", "second")
+            left = left.join(texts.select("copy", again), "copy").where("other <> band")
+            left = left.select("band", F.xxhash64("key", "other", "second").alias("key"), "copy")
+        open_ = stage_table(left, "open")
         leading *= 8
     if links is None:
         ends = texts.select("copy", F.col("copy").alias("root"), "doc_id", "n")
