@@ -17,7 +17,8 @@ BITS = 18
 #: Labelled rows to learn from, at most; the rows with the smallest hash are taken.
 TRAIN_ROWS = 12_000
 SHARDS = 4
-EPOCHS = 3
+#: Passes over the sample, and updates that few rows get at least.
+EPOCHS, UPDATES = 3, 3_000
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Byte classes of a word's shape: lower, upper, digit, long code point, each other byte by itself.
@@ -70,12 +71,12 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def train(column: pa.Array, labels: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights after one update per example and epoch."""
+def train(column: pa.Array, labels: np.ndarray) -> np.ndarray:
+    """Weights after one update per example and pass."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     row, feature, value = features(*buffers(column))
     ends = np.searchsorted(row, np.arange(len(labels) + 1))
-    for _ in range(epochs):
+    for _ in range(max(EPOCHS, -(-UPDATES // len(labels)))):
         for i, label in enumerate(labels):
             f, x = feature[ends[i] : ends[i + 1]], value[ends[i] : ends[i + 1]]
             w = _weights(z[f], n[f])
