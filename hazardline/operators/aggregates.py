@@ -50,7 +50,7 @@ def basic_stats(value: str, names: Sequence[str] = ("count", "mean", "max", "std
 
 def flag_columns(item: str, items: Sequence[str], prefix: str = "has_") -> list[Column]:
     """1 if the item occurs, else 0: the pivot of a constant over a fixed list."""
-    return [F.max((F.col(item) == v).cast("int")).alias(prefix + safe_name(v)) for v in items]
+    return [F.max(F.coalesce((F.col(item) == v).cast("int"), F.lit(0))).alias(prefix + safe_name(v)) for v in items]
 
 
 def mean_columns(item: str, value: str, items: Sequence[str], prefix: str = "mean_") -> list[Column]:

@@ -149,6 +149,8 @@ def grid_search(
             rest = tuple(i for i in range(folds) if i != g)
             specs.append(ModelSpec(replace(params, n_estimators=max(members.values())), rest))
             scored_by[g].update({trial: (len(specs) - 1, trees) for trial, trees in members.items()})
+    if metric not in ("ipcw", "harrell"):
+        raise ValueError(f"unknown metric {metric!r}")
     scores = df.sparkSession.createDataFrame([], "param_id int, score double, folds int")
     if specs:
         forests = fit_forests(placed, specs, features, time, event, key, "grp", names)

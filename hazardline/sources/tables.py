@@ -36,21 +36,25 @@ LABEL_SCHEMA = T.StructType(
 )
 
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
     """Header CSV with an explicit schema.
 
     Columns are matched by header name, so their order in the file is free and absent optional
     ones read as NULL. Everything is read as text and cast here: a missing token becomes NULL and
-    a number that does not parse raises instead of silently turning into a missing value.
+    a number that does not parse raises instead of silently turning into a missing value. A quote inside quoted text is
+    doubled; blanks around text stay. ``multi_line`` allows line breaks in quoted text, at the price of one task a file.
+    A record with a wrong number of fields stops the read.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False)
+    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line, mode="FAILFAST")
     present = set(raw.columns)
 
     def typed(field: T.StructField):
         if field.name not in present:
             return F.lit(None).cast(field.dataType).alias(field.name)
-        text = F.trim(F.col(f"`{field.name}`"))
-        known = F.when(~F.lower(text).isin([t.lower() for t in MISSING_TOKENS]), text)
+        text = F.col(f"`{field.name}`")
+        if not isinstance(field.dataType, T.StringType):
+            text = F.trim(text)
+        known = F.when(~text.isin(list(MISSING_TOKENS)), text)
         if isinstance(field.dataType, (T.IntegerType, T.LongType)):
             # "1.0" is how a nullable integer column is usually written
             known = known.cast("double")
