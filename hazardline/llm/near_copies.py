@@ -162,10 +162,10 @@ def _verify(idf, schema: pa.Schema) -> Callable:
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the smallest node each node is linked to, over any number of links.
 
-    Alternates two contractions, each one grouping and one join over the links that are left; hubs stay split.
+    Alternates two contractions, each one grouping and one join over the links that are left, until every node that is
+    not a root has one link, to a root; hubs stay split.
     """
     edges = stage_table(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    before = None
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
         least = stage_table(both.groupBy("u").agg(F.min("v").alias("m")), "least").withColumn("m", F.least("u", "m"))
@@ -174,10 +174,25 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         least = stage_table(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage_table(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+        ends = ends.union(edges.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if not ends.where("below + above > 1 and below > 0").agg(F.count("*")).first()[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+
+
+def contract(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``components`` of the links behind ``roots`` and further ``links`` (copy, leader), which only join whole classes."""
+    if roots is None:
+        return stage_table(components(links, "copy", "leader"), "roots")
+    links = links.join(roots.select(F.col("node").alias("copy"), F.col("root").alias("a")), "copy", "left")
+    links = links.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("b")), "leader", "left")
+    links = links.select(F.coalesce("a", "copy").alias("a"), F.coalesce("b", "leader").alias("b")).where("a <> b")
+    links = stage_table(links.distinct(), "joins")
+    if links.isEmpty():
+        return roots
+    joined = stage_table(components(links, "a", "b"), "joined")
+    moved = roots.join(joined.toDF("root", "into"), "root", "left").select("node", F.coalesce("into", "root").alias("root"))
+    return stage_table(moved.unionByName(joined), "roots")
 
 
 def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int = 4) -> DataFrame:
@@ -199,10 +214,12 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows:
     keys = texts.select("copy", F.posexplode("bands").alias("band", "key"))
     shared = stage_table(keys.groupBy("band", "key").count().where("count > 1").select("band", "key"), "shared")
     open_ = stage_table(keys.join(shared, ["band", "key"]), "open")
-    involved = stage_table(open_.select("copy").distinct(), "involved")
-    bodies = docs.select("copy", "text").join(involved, "copy").groupBy("copy").agg(F.any_value("text").alias("text"))
-    bodies = stage_table(bodies, "bodies")
-    links = checked = None
+    involved = open_.select("copy").distinct().join(texts.select("copy", F.col("doc_id").alias("id")), "copy")
+    # one row of each text is fetched, by its id as well, so a text with many copies is dealt out like any other
+    involved = stage_table(involved.withColumnRenamed("copy", "of"), "involved").hint("merge")
+    bodies = docs.join(involved, (F.col("copy") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    bodies = stage_table(bodies.groupBy("copy").agg(F.any_value("text").alias("text")), "bodies")
+    roots = checked = None
     pair = output(docs.select("copy"), "leader string, similarity double", "copy")
     leading = 1
     while not open_.isEmpty():
@@ -219,9 +236,8 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows:
         with_bodies = pairs.join(bodies, "copy").join(bodies.select(F.col("copy").alias("leader"), F.col("text").alias("other")), "leader")
         now = stage_table(with_bodies.select("copy", "leader", "text", "other").mapInArrow(_verify(idf, arrow_schema(pair)), pair), "checked")
         checked = now if checked is None else checked.unionByName(now)
-        links = checked.where(F.col("similarity") >= threshold).select("copy", "leader")
         # a member is done once it is in the class of one of its leaders, by whatever links
-        roots = stage_table(components(links, "copy", "leader"), "roots")
+        roots = contract(roots, now.where(F.col("similarity") >= threshold).select("copy", "leader"))
         sides = members.where("own is null").select("band", "key", "copy", "leader")
         sides = sides.join(roots.select(F.col("node").alias("copy"), F.col("root").alias("a")), "copy", "left")
         sides = sides.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("b")), "leader", "left")
@@ -231,10 +247,12 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows:
         if leading == 1:
             again = F.posexplode("bands").alias("other", "second")
             left = left.join(texts.select("copy", again), "copy").where("other <> band")
-            left = left.select("band", F.xxhash64("key", "other", "second").alias("key"), "copy")
+            left = left.withColumn("up", F.col("band") < F.col("other"))
+            both = F.when(F.col("up"), F.xxhash64("key", "other", "second")).otherwise(F.xxhash64("second", "band", "key"))
+            left = left.select(F.least("band", "other").alias("band"), both.alias("key"), "copy").distinct()
         open_ = stage_table(left, "open")
         leading *= 8
-    if links is None:
+    if roots is None:
         ends = texts.select("copy", F.col("copy").alias("root"), "doc_id", "n")
     else:
         ends = texts.join(roots.withColumnRenamed("node", "copy"), "copy", "left").select("copy", F.coalesce("root", "copy").alias("root"), "doc_id", "n")
