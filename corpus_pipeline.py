@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = near_copies(docs)
     first = classes.where("doc_id = class_id and copy is not null").groupBy("class_id").agg(F.min("copy").alias("copy"))
     first = stage_table(first.withColumnRenamed("class_id", "doc_id"), "first")
-    key = F.md5(F.col("text").cast("binary"))
+    key = F.unhex(F.md5(F.col("text").cast("binary")))
     whole = docs.where("doc_id is not null and text is not null").withColumn("copy", key)
     kept = whole.join(first, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"]).select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null or text is null"))

@@ -170,7 +170,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         both = edges.union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
         least = stage_table(both.groupBy("u").agg(F.min("v").alias("m")), "least").withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage_table(large.where("u <> v").distinct(), "edges")
+        edges = stage_table(large.where("u <> v"), "edges")
         least = stage_table(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage_table(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
@@ -201,13 +201,13 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows:
     Words are lower-cased runs of letters and digits, a shingle is five of them (all of them, if a text has fewer).
     Rows with the same text are one class whatever their length; different texts are linked at a similarity of
     ``threshold`` or more, and classes are what links connect. ``class_id`` is the smallest id in the class,
-    ``class_size`` its rows, ``copy`` a key of the text. A text without words is linked to its equals only; each row
+    ``class_size`` its rows, ``copy`` the digest of the text (16 bytes). A text without words is linked to its equals only; each row
     with a null text is a class of its own. Ids may repeat; other columns are ignored.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.md5(F.col("text").cast("binary")).alias("copy"), "text")
+    docs = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("copy"), "text")
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
-    schema = output(docs, "copy string, bands array<long>")
+    schema = output(docs, "copy binary, bands array<long>")
     signed = stage_table(docs.mapInArrow(_sign(idf, bands, rows, arrow_schema(schema)), schema), "signed")
     texts = signed.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.any_value("bands").alias("bands"))
     texts = stage_table(texts, "texts")
@@ -220,7 +220,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows:
     bodies = docs.join(involved, (F.col("copy") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
     bodies = stage_table(bodies.groupBy("copy").agg(F.any_value("text").alias("text")), "bodies")
     roots = checked = None
-    pair = output(docs.select("copy"), "leader string, similarity double", "copy")
+    pair = output(docs.select("copy"), "leader binary, similarity double", "copy")
     leading = 1
     while not open_.isEmpty():
         place = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.xxhash64("copy", "band"), "copy"))
