@@ -22,7 +22,8 @@ KINDS = ("assign", "access", "hex", "random")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-_WORDY = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,8})(?:[_/+=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,8}))*")
+_WORD = "(?:[A-Z]*+[a-z]{2,}+|[A-Z]{2,}+|[0-9]++)"
+_WORDY = re.compile(rf"{_WORD}(?:[_/+=-]*+{_WORD})*+")
 _encoders: dict = {}
 
 

@@ -43,3 +43,10 @@ def test_random_strings_and_exceptions(spark):
     assert [got[100 + i].n_random for i in range(len(fine))] == [0] * len(fine)
     assert got[0].masked == "see * there" and got[0].spans == "random:4:36"
     assert secret_scan(df.limit(0)).count() == 0
+
+
+def test_long_runs_take_linear_time(spark):
+    runs = ["x" * 5000 + "A1", "ab" * 3000 + "1-", "1" * 4000 + "a"]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "doc_id long, text string")
+    assert secret_scan(df).count() == 3
+    assert all(r.n_random in (0, 1) for r in secret_scan(df).collect())
