@@ -3,11 +3,11 @@
 Document frequencies are counted over all documents into a fixed number of hashed buckets, so the table of weights has
 the same few MB at any size. A sample is the shingle with the smallest draw ``c / (y e^r)``, where y is the largest
 weight below its own on a random log grid; two documents have an equal sample with the probability of their weighted
-Jaccard similarity. Candidates are the members of a band's bucket, each compared with the bucket's leader only; those
-that are not yet in its class by any link meet again under eight times as many new leaders, and so on until none is
-left, so a group of copies of any size costs a few comparisons a member. From the second round on, members must share a
-second band as well, which texts that only have a common passage rarely do: of pairs at the threshold itself, 96 % of
-those that the first round met do, and of pairs at 0.9 all but one in a thousand.
+Jaccard similarity. Candidates are the members of a band's bucket; each first meets the bucket's leader only, so a group of copies of any size
+costs a few comparisons a member. Members of buckets that are not one class after that are grouped anew by the rarest of
+their shingles: two texts that reach the threshold must share one of those, which texts that only have a common passage
+rarely do, so nothing is lost. In these groups members of different classes meet more and more leaders, until each group
+is one class or all have met.
 """
 
 from __future__ import annotations
@@ -150,6 +150,29 @@ def similarities(left: pa.Array, right: pa.Array, table: np.ndarray) -> np.ndarr
     return best
 
 
+def _rarest(idf, threshold: float, schema: pa.Schema) -> Callable:
+    """The shingles of each text, rarest first, down to where those left could not reach the threshold by themselves.
+
+    The first common shingle of two texts leaves all their common weight behind it, so it is among these in both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 19):
+            s = Shingles(*buffers(batch.column("text")))
+            weight = idf.value[s.bucket()].astype(np.float64)
+            order = np.lexsort((s.id, -weight, s.text))
+            text, needed = s.text[order], np.zeros(len(order), bool)
+            for w in (s.times.astype(np.float64), s.times * weight):
+                total = np.bincount(text, w[order], batch.num_rows)
+                done = np.cumsum(w[order]) - w[order] - (np.cumsum(total) - total)[text]
+                needed |= total[text] - done >= (threshold - 1e-6) * total[text]
+            hit = np.flatnonzero(needed)
+            arrays = [*(batch.column(c).take(pa.array(text[hit])) for c in ("copy", "root")), long_array(s.id[order][hit])]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    return run
+
+
 def _verify(idf, schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -195,6 +218,14 @@ def contract(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return stage_table(moved.unionByName(joined), "roots")
 
 
+def unsettled(groups: DataFrame, met: int) -> DataFrame:
+    """The members (key, copy, root) of groups with more than one class and more members than ``met`` leaders and one."""
+    root = F.xxhash64("root")
+    several = groups.groupBy("key").agg(F.min(root).alias("low"), F.max(root).alias("high"), F.count("*").alias("n"))
+    several = several.where((F.col("low") < F.col("high")) & (F.col("n") > met + 1)).select("key")
+    return stage_table(groups.join(several, "key"), "open")
+
+
 def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int = 4) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): (doc_id, class_id, class_size, copy).
 
@@ -211,9 +242,9 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows:
     signed = stage_table(docs.mapInArrow(_sign(idf, bands, rows, arrow_schema(schema)), schema), "signed")
     texts = signed.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.any_value("bands").alias("bands"))
     texts = stage_table(texts, "texts")
-    keys = texts.select("copy", F.posexplode("bands").alias("band", "key"))
-    shared = stage_table(keys.groupBy("band", "key").count().where("count > 1").select("band", "key"), "shared")
-    open_ = stage_table(keys.join(shared, ["band", "key"]), "open")
+    bucket = F.posexplode("bands").alias("band", "value")
+    keys = texts.select("copy", bucket).select(F.xxhash64("band", "value").alias("key"), "copy", F.col("copy").alias("root"))
+    open_ = unsettled(keys, 0)
     involved = open_.select("copy").distinct().join(texts.select("copy", F.col("doc_id").alias("id")), "copy")
     # one row of each text is fetched, by its id as well, so a text with many copies is dealt out like any other
     involved = stage_table(involved.withColumnRenamed("copy", "of"), "involved").hint("merge")
@@ -221,37 +252,28 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows:
     bodies = stage_table(bodies.groupBy("copy").agg(F.any_value("text").alias("text")), "bodies")
     roots = checked = None
     pair = output(docs.select("copy"), "leader binary, similarity double", "copy")
-    leading = 1
+    member = output(docs.select("copy"), "root binary, key long", "copy")
+    leading, regrouped = 1, False
     while not open_.isEmpty():
-        place = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.xxhash64("copy", "band"), "copy"))
-        first = open_.withColumn("place", place).where(F.col("place") <= leading)
-        leaders = stage_table(first.select("band", "key", F.col("copy").alias("leader"), "place"), "leaders")
-        own = leaders.select("band", "key", F.col("leader").alias("copy"), F.col("place").alias("own"))
-        # a leader meets the leaders before it; every other member meets all of them
-        members = open_.join(own, ["band", "key", "copy"], "left").join(leaders, ["band", "key"]).where("own is null or own > place")
-        members = stage_table(members.select("band", "key", "copy", "leader", "own"), "members")
-        pairs = members.select(F.least("copy", "leader").alias("copy"), F.greatest("copy", "leader").alias("leader")).distinct()
+        place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("copy", "key"), "copy"))
+        leaders = open_.withColumn("place", place).where(F.col("place") <= leading)
+        leaders = stage_table(leaders.select("key", F.col("copy").alias("leader"), F.col("root").alias("of")), "leaders")
+        pairs = open_.join(leaders, "key").where("root <> of")
+        pairs = pairs.select(F.least("copy", "leader").alias("copy"), F.greatest("copy", "leader").alias("leader")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["copy", "leader"], "left_anti")
         with_bodies = pairs.join(bodies, "copy").join(bodies.select(F.col("copy").alias("leader"), F.col("text").alias("other")), "leader")
         now = stage_table(with_bodies.select("copy", "leader", "text", "other").mapInArrow(_verify(idf, arrow_schema(pair)), pair), "checked")
         checked = now if checked is None else checked.unionByName(now)
-        # a member is done once it is in the class of one of its leaders, by whatever links
         roots = contract(roots, now.where(F.col("similarity") >= threshold).select("copy", "leader"))
-        sides = members.where("own is null").select("band", "key", "copy", "leader")
-        sides = sides.join(roots.select(F.col("node").alias("copy"), F.col("root").alias("a")), "copy", "left")
-        sides = sides.join(roots.select(F.col("node").alias("leader"), F.col("root").alias("b")), "leader", "left")
-        tied = F.coalesce("a", "copy") == F.coalesce("b", "leader")
-        left = sides.groupBy("band", "key", "copy").agg(F.bool_or(tied).alias("tied"))
-        left = left.where("not tied").select("band", "key", "copy")
-        if leading == 1:
-            again = F.posexplode("bands").alias("other", "second")
-            left = left.join(texts.select("copy", again), "copy").where("other <> band")
-            left = left.withColumn("up", F.col("band") < F.col("other"))
-            both = F.when(F.col("up"), F.xxhash64("key", "other", "second")).otherwise(F.xxhash64("second", "band", "key"))
-            left = left.select(F.least("band", "other").alias("band"), both.alias("key"), "copy").distinct()
-        open_ = stage_table(left, "open")
-        leading *= 8
+        classed = open_.select("key", "copy").join(roots.withColumnRenamed("node", "copy"), "copy", "left")
+        open_ = unsettled(stage_table(classed.select("key", "copy", F.coalesce("root", "copy").alias("root")), "classed"), leading)
+        if regrouped:
+            leading *= 8
+        else:
+            regrouped = True
+            again = bodies.join(open_.select("copy", "root").distinct(), "copy").select("copy", "root", "text")
+            open_ = unsettled(stage_table(again.mapInArrow(_rarest(idf, threshold, arrow_schema(member)), member), "rarest"), 0)
     if roots is None:
         ends = texts.select("copy", F.col("copy").alias("root"), "doc_id", "n")
     else:

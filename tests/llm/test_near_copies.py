@@ -85,3 +85,19 @@ def test_components_of_chains_and_stars(spark):
     pairs = [(i, i + 1) for i in range(30)] + [(100, x) for x in range(101, 140)] + [(200, 201)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(1, 31)}, **{x: 100 for x in range(101, 140)}, 201: 200}
+
+
+def test_links_found_only_after_the_leader_are_kept(spark):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for _ in range(30):  # texts around one passage, near copies in chains, each link close to the threshold
+        words = passage + [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(4):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            words[rng.randrange(60, 120)] = f"e{rng.randrange(10**6)}"
+            words[rng.randrange(60, 120)] = f"e{rng.randrange(10**6)}"
+    got = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = dict(expected(rows))
+    assert sum(want[r.doc_id] != r.class_id for r in got) <= 2
