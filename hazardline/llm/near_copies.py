@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardline.llm.arrays import ALPHANUMERIC, LOWER, Words, buffers, long_array, mix, slices
@@ -25,6 +25,8 @@ from hazardline.session import stage_table
 
 SHINGLE = 5
 BUCKET_BITS = 18
+#: What is left of a text from one of its shingles on, and its whole, by counts and by TF-IDF weights.
+ROOM = ("left_count", "count", "left_weight", "weight")
 _ID = np.uint64((1 << 48) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
@@ -161,13 +163,15 @@ def _rarest(idf, threshold: float, schema: pa.Schema) -> Callable:
             s = Shingles(*buffers(batch.column("text")))
             weight = idf.value[s.bucket()].astype(np.float64)
             order = np.lexsort((s.id, -weight, s.text))
-            text, needed = s.text[order], np.zeros(len(order), bool)
+            text, needed, room = s.text[order], np.zeros(len(order), bool), []
             for w in (s.times.astype(np.float64), s.times * weight):
                 total = np.bincount(text, w[order], batch.num_rows)
                 done = np.cumsum(w[order]) - w[order] - (np.cumsum(total) - total)[text]
-                needed |= total[text] - done >= (threshold - 1e-6) * total[text]
+                room += [total[text] - done, total[text]]
+                needed |= room[-2] >= (threshold - 1e-6) * room[-1]
             hit = np.flatnonzero(needed)
             arrays = [*(batch.column(c).take(pa.array(text[hit])) for c in ("copy", "root")), long_array(s.id[order][hit])]
+            arrays += [pa.array(x[hit].astype(np.float32)) for x in room]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return run
@@ -218,6 +222,15 @@ def contract(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return stage_table(moved.unionByName(joined), "roots")
 
 
+def in_reach(threshold: float) -> Column:
+    """Whether the members ``a`` and ``b`` of a group can reach the threshold if its shingle is the first they share."""
+    fits = []
+    for left, whole in (ROOM[:2], ROOM[2:]):
+        needed = (threshold - 1e-4) / (1 + threshold) * (F.col(f"a.{whole}") + F.col(f"b.{whole}"))
+        fits.append(F.least(f"a.{left}", f"b.{left}") >= needed)
+    return fits[0] | fits[1]
+
+
 def unsettled(groups: DataFrame, met: int) -> DataFrame:
     """The members (key, copy, root) of groups with more than one class and more members than ``met`` leaders and one."""
     root = F.xxhash64("root")
@@ -252,22 +265,25 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows:
     bodies = stage_table(bodies.groupBy("copy").agg(F.any_value("text").alias("text")), "bodies")
     roots = checked = None
     pair = output(docs.select("copy"), "leader binary, similarity double", "copy")
-    member = output(docs.select("copy"), "root binary, key long", "copy")
+    member = output(docs.select("copy"), "root binary, key long, " + ", ".join(f"{c} float" for c in ROOM), "copy")
     leading, regrouped = 1, False
     while not open_.isEmpty():
         place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("copy", "key"), "copy"))
         leaders = open_.withColumn("place", place).where(F.col("place") <= leading)
-        leaders = stage_table(leaders.select("key", F.col("copy").alias("leader"), F.col("root").alias("of")), "leaders")
-        pairs = open_.join(leaders, "key").where("root <> of")
-        pairs = pairs.select(F.least("copy", "leader").alias("copy"), F.greatest("copy", "leader").alias("leader")).distinct()
+        leaders = stage_table(leaders.drop("place"), "leaders")
+        meet = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root"))
+        if regrouped:
+            meet = meet & in_reach(threshold)
+        pairs = open_.alias("a").join(leaders.alias("b"), meet)
+        pairs = pairs.select(F.least("a.copy", "b.copy").alias("copy"), F.greatest("a.copy", "b.copy").alias("leader")).distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["copy", "leader"], "left_anti")
         with_bodies = pairs.join(bodies, "copy").join(bodies.select(F.col("copy").alias("leader"), F.col("text").alias("other")), "leader")
         now = stage_table(with_bodies.select("copy", "leader", "text", "other").mapInArrow(_verify(idf, arrow_schema(pair)), pair), "checked")
         checked = now if checked is None else checked.unionByName(now)
         roots = contract(roots, now.where(F.col("similarity") >= threshold).select("copy", "leader"))
-        classed = open_.select("key", "copy").join(roots.withColumnRenamed("node", "copy"), "copy", "left")
-        open_ = unsettled(stage_table(classed.select("key", "copy", F.coalesce("root", "copy").alias("root")), "classed"), leading)
+        classed = open_.drop("root").join(roots.withColumnRenamed("node", "copy"), "copy", "left")
+        open_ = unsettled(stage_table(classed.withColumn("root", F.coalesce("root", "copy")), "classed"), leading)
         if regrouped:
             leading *= 8
         else:
