@@ -36,8 +36,16 @@ def time_regression(df: DataFrame, features: str, time: str, ridge: float = 0.01
 def boosted_benchmark(
     df: DataFrame, features: str, time: str, event: str, tau: float | None = None, rounds: int = 20, depth: int = 3, seed: int = 42
 ) -> Risk:
-    """Boosted trees on the event times, each event weighted by its inverse censoring probability."""
-    weighted = ipcw_weights(df, df, time, event, tau=tau, out="__w").where(F.col("__w") > 0)
+    """Boosted trees on the event times, each event weighted by its inverse censoring probability.
+
+    With ``tau``, times stop there: a row observed up to ``tau`` or longer is known to have reached it, event or not.
+    """
+    known = df
+    if tau is not None:
+        reached = F.col(time) >= F.lit(float(tau))
+        known = df.withColumn(event, (F.col(event).cast("boolean") | reached).cast(df.schema[event].dataType))
+        known = known.withColumn(time, F.when(reached, F.lit(float(tau))).otherwise(F.col(time)))
+    weighted = ipcw_weights(df, known, time, event, out="__w").where(F.col("__w") > 0)
     learner = GBTRegressor(featuresCol="__vec", labelCol=time, weightCol="__w", maxIter=rounds, maxDepth=depth, seed=seed)
     return Risk(learner.fit(_with_vector(weighted, features)), features)
 
