@@ -3,7 +3,8 @@
 Document frequencies are counted over all documents into a fixed number of hashed buckets, so the table of weights has
 the same few MB at any size. A sample is the shingle with the smallest draw ``c / (y e^r)``, where y is the largest
 weight below its own on a random log grid; two documents have an equal sample with the probability of their weighted
-Jaccard similarity. Candidates are the members of a band's bucket; each first meets the bucket's leader only, so a group of copies of any size
+Jaccard similarity. Links count by TF-IDF or by counts, so there are as many bands of samples drawn by plain counts as
+by TF-IDF. Candidates are the members of a band's bucket; each first meets the bucket's leader only, so a group of copies of any size
 costs a few comparisons a member. Members of buckets that are not one class after that are grouped anew by the rarest of
 their shingles: two texts that reach the threshold must share one of those, which texts that only have a common passage
 rarely do, so nothing is lost. In these groups members of different classes meet more and more leaders, until each group
@@ -109,20 +110,22 @@ def samples(keys: np.ndarray, text: np.ndarray, ident: np.ndarray, weight: np.nd
 
 
 def _sign(idf, bands: int, rows: int, schema: pa.Schema) -> Callable:
+    """Adds ``bands`` band values of samples by TF-IDF weights and as many by counts, the two measures of a link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
         for batch in slices(batches, "text", 1 << 19):
             s = Shingles(*buffers(batch.column("text")))
-            out = np.zeros((batch.num_rows, bands), np.uint64)
+            out = np.zeros((batch.num_rows, 2 * bands), np.uint64)
             some = np.unique(s.text)
             if len(some):
-                log_weight = np.log(s.times * table[s.bucket()]).astype(np.float32)
-                for band in range(bands):
+                weights = [np.log(s.times * table[s.bucket()]).astype(np.float32), np.log(s.times).astype(np.float32)]
+                for band in range(2 * bands):
                     for k in range(band * rows, band * rows + rows):
-                        text, value = samples(s.keys, s.text, s.id, log_weight, k)
+                        text, value = samples(s.keys, s.text, s.id, weights[band // bands], k)
                         out[text, band] = mix(out[text, band] * _STEP + value)
             signed = np.zeros(batch.num_rows, np.int64)
-            signed[some] = bands
+            signed[some] = 2 * bands
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(signed)).astype(np.int32)), long_array(out[some].ravel()))
             arrays = [batch.column("doc_id"), batch.column("copy"), lists]
             yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)

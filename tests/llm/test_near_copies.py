@@ -101,3 +101,20 @@ def test_links_found_only_after_the_leader_are_kept(spark):
     got = near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     want = dict(expected(rows))
     assert sum(want[r.doc_id] != r.class_id for r in got) <= 2
+
+
+def test_copies_in_a_group_of_a_third_of_the_rows_meet_by_counts(spark):
+    rng = random.Random(9)
+    new = lambda k: [f"w{rng.randrange(10**7)}" for _ in range(k)]
+    base = new(100)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 200):  # one or two edited words: 0.90 or 0.81 by counts, far below 0.8 by TF-IDF
+        words = list(base)
+        for at in (10 + i % 35, 55 + i % 35)[: 1 + i % 2]:
+            words[at] = f"e{rng.randrange(10**7)}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join(new(100))) for i in range(400)]
+    assert all(jaccard(shingles(rows[0][1]), shingles(t)) >= 0.8 for _, t in rows[:200])
+    got = {r.doc_id: r.class_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[i] != 0 for i in range(200)) == 0
+    assert all(got[i] == i for i in range(200, 600))
