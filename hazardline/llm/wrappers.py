@@ -23,7 +23,7 @@ from hazardline.llm.repeats import output
 from hazardline.session import stage_table
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[A-Za-z/!?][^>]*(?:>|\Z)""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
@@ -32,16 +32,40 @@ _ASIDE_NAMES = set(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies footer header menu nav navbar navigation newsletter notice notices popup promo promoted "
     "related reply replies search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Parts of a class name that tells what the page around it has, not what the element is.
+_STATES = {"no", "not", "has", "have", "with", "without"}
+#: Text of its own, whatever words its id has; and a notice among paragraphs is text as well.
+_TEXTUAL = _INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "caption", "figcaption", "blockquote", "pre"}
 #: Elements that a new one of the same group ends.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _DEEPEST = 100
 
 
 class Element:
-    __slots__ = ("kids", "name", "aside")
+    """``hint`` has the words by which an element stands aside, unless its tag alone says so."""
 
-    def __init__(self, name: str, aside: bool) -> None:
-        self.name, self.aside, self.kids = name, aside, []
+    __slots__ = ("kids", "name", "aside", "hint")
+
+    def __init__(self, name: str, aside: bool, hint: str = "") -> None:
+        self.name, self.aside, self.hint, self.kids = name, aside, hint, []
+
+    def label(self) -> str:
+        return f"{self.name} {self.hint}" if self.aside and self.hint else self.name + ("-" if self.aside else "")
+
+
+def marginal_words(tag: str, attributes: str) -> set[str]:
+    """The words of class, id and role that mark a part aside: a whole name, or the first or last part of a class."""
+    found = set()
+    for kind, *values in _NAMES.findall(attributes):
+        for name in "".join(values).lower().split():
+            parts = [w for w in re.split(r"[^a-z]+", name) if w]
+            if not parts or _STATES & set(parts):
+                continue
+            if kind.lower() == "class":
+                found |= {parts[0], parts[-1]} & _ASIDE_NAMES
+            elif len(parts) == 1 and not (kind.lower() == "id" and tag in _TEXTUAL):
+                found |= set(parts) & _ASIDE_NAMES
+    return found - {"notice", "notices"} if tag in _TEXTUAL else found
 
 
 def parse(page: str | None) -> Element:
@@ -75,8 +99,11 @@ def parse(page: str | None) -> Element:
             _end(stack, ("p",), ("article", "div", "section", "td", "li", "main", "body"))
         if tag in _ENDS:
             _end(stack, _ENDS[tag], ("ul", "ol", "dl", "table", "select"))
-        names = {w for x in _NAMES.findall(m[3]) for w in re.split(r"[^a-z]+", "".join(x).lower())} if m[3] else set()
-        element = Element(tag, tag in _ASIDE or bool(names & _ASIDE_NAMES) and tag not in ("html", "body", "article", "main"))
+        if tag == "form" or tag in _ASIDE or tag in ("html", "body", "article", "main") or not m[3]:
+            element = Element(tag, tag in _ASIDE, "form" if tag == "form" else "")
+        else:
+            hint = "+".join(sorted(marginal_words(tag, m[3])))
+            element = Element(tag, bool(hint), hint)
         stack[-1].kids.append(element)
         if len(stack) < _DEEPEST:
             stack.append(element)
@@ -134,11 +161,12 @@ def pattern(element: Element) -> list:
                 size += len(kid)
                 if not kids or kids[-1][0] != "#":
                     kids.append(["#", "1", 0, []])
+                kids[-1][2] += len(kid)
         else:
             node = pattern(kid)
             size += node[2]
             kids.append(node)
-    return [element.name + ("-" if element.aside else ""), "1", 0 if element.aside else size, fold(kids)]
+    return [element.label(), "1", 0 if element.aside else size, fold(kids)]
 
 
 def _both(a: list, b: list, repeated: bool = False) -> list:
@@ -179,6 +207,77 @@ def align(a: list, b: list) -> list:
     return fold(out)
 
 
+def released(root: list) -> list[list[str]]:
+    """Paths of elements whose words say aside but which carry the article, outermost first.
+
+    They hold ``main``; or no ``article`` or ``main`` stands outside marginal parts, and they hold an ``article`` or more
+    than half of the text. So comments and related articles beside an article stay aside.
+    """
+
+    def holds(at: list, names: tuple[str, ...], through: bool = True) -> bool:
+        return at[0] in names or not at[0].endswith("-") and (through or " " not in at[0]) and any(holds(x, names, through) for x in at[3])
+
+    outside, half, out = holds(root, ("article", "main"), False), _gross(root) / 2, []
+
+    def walk(at: list, path: list[str]) -> None:
+        for kid in at[3]:
+            here = [*path, kid[0]]
+            if kid[0].endswith("-"):
+                continue
+            if " " in kid[0]:
+                if not holds(kid, ("main",)) and (outside or not holds(kid, ("article",)) and _gross(kid) <= half):
+                    continue
+                out.append(here)
+            walk(kid, here)
+
+    walk(root, [])
+    return out
+
+
+def weighed(node: list, free: list[list[str]], path: tuple[str, ...] = ()) -> list:
+    """The pattern with released elements as ordinary ones, and text counted anew."""
+    if node[0] == "#":
+        return node
+    kids = [weighed(x, free, (*path, x[0])) for x in node[3]]
+    label = node[0].split(" ")[0] if list(path) in free else node[0]
+    return [label, node[1], 0 if label.endswith("-") or " " in label else sum(x[2] for x in kids), kids]
+
+
+def release(page: Element, free: list[list[str]]) -> None:
+    """Elements of a page at the released paths stand aside no more."""
+    hit = []
+    for path in free:
+        found = [page]
+        for label in path:
+            found = [kid for at in found for kid in at.kids if not isinstance(kid, str) and kid.label() == label]
+        hit += found
+    for element in hit:
+        element.aside = False
+
+
+def opened(page: Element, free: list[list[str]]) -> Element:
+    """The page with its host's released parts; with its own as well, if less than a tenth of its text is left else."""
+    release(page, free)
+    node = pattern(page)
+    if len(blocks(page)) and node[2] * 10 >= _gross(node):
+        return page
+    release(page, released(node))
+    if not blocks(page):
+        _open_all(page)
+    return page
+
+
+def _gross(at: list) -> int:
+    return at[2] if at[0] == "#" else 0 if at[0].endswith("-") else sum(map(_gross, at[3]))
+
+
+def _open_all(at: Element) -> None:
+    for kid in at.kids:
+        if not isinstance(kid, str):
+            kid.aside = kid.aside and not kid.hint
+            _open_all(kid)
+
+
 def main_path(node: list) -> list[str]:
     """Labels from the page down to the element that carries the article.
 
@@ -187,7 +286,7 @@ def main_path(node: list) -> list[str]:
     """
 
     def named(at: list, name: str) -> list[str] | None:
-        if at[0].endswith("-"):
+        if at[0].endswith("-") or " " in at[0]:
             return None
         if at[0] == name:
             return [name]
@@ -237,14 +336,19 @@ def _fold_rows(table: pa.Table) -> pa.Table:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, path): one pattern per host from all its pages (host, html), and the way to the article."""
+    """(host, wrapper, path): one pattern per host from all its pages (host, html), released parts and the way to the article."""
     partial = pages.mapInPandas(_fold_pages, "host string, wrapper string").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32)))
     first = partial.groupBy("host", "salt").applyInArrow(lambda _, t: _fold_rows(t), "host string, wrapper string")
     every = stage_table(first.groupBy("host").applyInArrow(lambda _, t: _fold_rows(t), "host string, wrapper string"), "wrappers")
 
     def paths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(path=[json.dumps(main_path(json.loads(x))) for x in frame["wrapper"]])
+            found = []
+            for text in frame["wrapper"]:
+                node = json.loads(text)
+                free = released(node)
+                found.append(json.dumps([free, main_path(weighed(node, free))]))
+            yield frame.assign(path=found)
 
     return stage_table(every.mapInPandas(paths, "host string, wrapper string, path string"), "paths")
 
@@ -263,7 +367,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = [main_text(parse(page), json.loads(path)) for page, path in zip(frame["html"], frame["path"], strict=True)]
+            texts = []
+            for page, way in zip(frame["html"], frame["path"], strict=True):
+                free, path = json.loads(way)
+                texts.append(main_text(opened(parse(page), free), path))
             yield pd.DataFrame({"page_id": frame["page_id"].array, "url": frame["url"].array, "text": texts, "n_chars": [len(t) for t in texts]})
 
     schema = output(pages, "url string, text string, n_chars long", "page_id")

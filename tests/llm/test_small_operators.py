@@ -108,6 +108,19 @@ def test_extraction(spark):
     assert html.unescape("&eacute;") in text[6] or text[6].startswith("Big & small")
 
 
+def test_parts_that_carry_the_article_are_not_marginal(spark):
+    long = "many words of the text " * 20
+    body = f"<h2 id=related-work>Work</h2><p>{long}</p><p class=notice>Beware</p><section id=share-prices><p>Prices <span id=Social_impact>rise</span></p></section>"
+    side = "<div class=sidebar>side</div><div id=comments><p>first</p></div>"
+    rows = [(f"http://h{i}/", f"<body><div class='{c}'>{body}{side}</div><footer>f</footer></body>") for i, c in enumerate(["content-sidebar-wrap", "no-sidebar", "has-header", "page-with-ads", "search-results"])]
+    rows += [("http://h5/", f"<div class=search><article>{body}{side}</article></div>"), ("http://h6/", f"<form id=f>{body}{side}</form>")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")).collect()}
+    want = "\n\n".join(["Work", long.strip(), "Beware", "Prices rise"])
+    assert [got[i] for i in range(7)] == [want] * 7
+    beside = f"<article><p>{long}</p></article><div class=related><article>teaser</article></div><div class=comments>{long * 5}</div>"
+    assert [r.text for r in extract(spark.createDataFrame([(1, "http://k/", beside)], "page_id long, url string, html string")).collect()] == [long.strip()]
+
+
 def test_patterns_fold_and_align():
     a, b = pattern(parse("<ul><li>1<li>2<li>3</ul><p>x</p>")), pattern(parse("<ul><li>1</ul><hr><p>x</p>"))
     from hazardline.llm.wrappers import _both
