@@ -279,44 +279,99 @@ def _open_all(at: Element) -> None:
 
 
 def main_path(node: list) -> list[str]:
-    """Labels from the page down to the element that carries the article.
+    """Labels from the page down to the element that carries the article: the first of ``main_paths``."""
+    ways = main_paths(node)
+    return (ways["article"] or ways["main"] or [ways["rest"]])[0]
 
-    An ``article`` or ``main`` outside marginal parts, if the pattern has one; else the deepest element that still holds
-    nine tenths of the text.
-    """
 
-    def named(at: list, name: str) -> list[str] | None:
-        if at[0].endswith("-") or " " in at[0]:
-            return None
-        if at[0] == name:
-            return [name]
-        for kid in sorted(at[3], key=lambda x: -x[2]):
-            found = named(kid, name)
-            if found:
-                return [at[0], *found]
-        return None
-
-    for name in ("article", "main"):
-        found = named(node, name)
-        if found:
-            return found[1:]
-    path, at = [], node
-    while at[3]:
-        best = max(at[3], key=lambda x: x[2])
-        if best[0] == "#" or best[1] in "+*" or best[2] < 0.9 * node[2] or best[0] in _INLINE:
+def main_paths(node: list) -> dict[str, list]:
+    """Where the host's pages have their article: all paths of outermost ``article`` and of ``main`` outside marginal
+    parts, most text first, and the path to the smallest element that holds all other text (links alone do not count)."""
+
+    def named(at: list, name: str, path: list[str], found: list) -> list:
+        for kid in at[3]:
+            here = [*path, kid[0]]
+            if kid[0] == name:
+                found.append((-kid[2], here))
+            elif not (kid[0].endswith("-") or " " in kid[0]):
+                named(kid, name, here, found)
+        return found
+
+    def plain(at: list) -> int:
+        return at[2] if at[0] == "#" else 0 if at[0] == "a" or at[0].endswith("-") or " " in at[0] else sum(map(plain, at[3]))
+
+    ways: dict[str, list] = {name: [] for name in ("article", "main")}
+    for name, paths in ways.items():
+        for _, path in sorted(named(node, name, [], [])):
+            if path not in paths:
+                paths.append(path)
+    rest, at, whole = [], node, plain(node)
+    while whole and at[3]:
+        best = max(at[3], key=plain)
+        if best[0] == "#" or best[1] in "+*" or plain(best) < whole or best[0] in _INLINE:
             break
-        path.append(best[0])
+        rest.append(best[0])
         at = best
-    return path
+    return {**ways, "rest": rest}
 
 
-def main_text(page: Element, path: list[str]) -> str:
-    """The blocks under all elements at the path; of the whole page if it has no such element."""
+def _at(page: Element, path: list[str]) -> list[Element]:
     found = [page]
     for label in path:
         found = [kid for at in found for kid in at.kids if not isinstance(kid, str) and not kid.aside and kid.name == label]
-    texts = [b for at in found for b in blocks(at)]
-    return "\n\n".join(texts if found else blocks(page))
+    return found
+
+
+def _chars(element: Element, links: bool = False) -> int:
+    """Characters of text outside marginal parts, without those of links unless ``links``."""
+    kids = element.kids
+    return sum(len("".join(k.split())) if isinstance(k, str) else 0 if k.aside or k.name == "a" and not links else _chars(k, links) for k in kids)
+
+
+def main_text(page: Element, ways: dict[str, list]) -> str:
+    """The article's blocks, and the first-level headings before it.
+
+    It is the one ``article`` of the page, or its ``main``, if that has at least half of the page's text, else what holds
+    all the page's text. With several articles no choice is made among them: ``main`` has to hold them all.
+    """
+    whole = _chars(page, True)
+    articles = [x for path in ways["article"] for x in _at(page, path)]
+    mains = [x for path in ways["main"] for x in _at(page, path)]
+    inside = [x for at in mains for x in articles_in(at)]
+    for found, fit in ((articles, len(articles) == 1), (mains, all(x in inside for x in articles))):
+        if found and fit and 2 * sum(_chars(x, True) for x in found) >= whole:
+            return "\n\n".join([b for at in [*_titles(page, found), *found] for b in blocks(at)])
+    rest = _at(page, ways["rest"])
+    every = sum(_chars(x) for x in rest) == _chars(page) and any(map(_chars, rest))
+    return "\n\n".join(b for at in (rest if every else [page]) for b in blocks(at))
+
+
+def articles_in(at: Element) -> list[Element]:
+    out = []
+    for kid in at.kids:
+        if not isinstance(kid, str) and not kid.aside:
+            out += [kid] if kid.name == "article" else articles_in(kid)
+    return out
+
+
+def _titles(page: Element, found: list[Element]) -> list[Element]:
+    """The ``h1`` of a page before its article and outside marginal parts."""
+    out: list[Element] = []
+
+    def walk(at: Element) -> bool:
+        for kid in at.kids:
+            if isinstance(kid, str) or kid.aside:
+                continue
+            if kid in found:
+                return True
+            if kid.name == "h1":
+                out.append(kid)
+            elif walk(kid):
+                return True
+        return False
+
+    walk(page)
+    return out
 
 
 def _fold_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -347,7 +402,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             for text in frame["wrapper"]:
                 node = json.loads(text)
                 free = released(node)
-                found.append(json.dumps([free, main_path(weighed(node, free))]))
+                found.append(json.dumps([free, main_paths(weighed(node, free))]))
             yield frame.assign(path=found)
 
     return stage_table(every.mapInPandas(paths, "host string, wrapper string, path string"), "paths")
@@ -369,8 +424,8 @@ def extract(pages: DataFrame) -> DataFrame:
         for frame in frames:
             texts = []
             for page, way in zip(frame["html"], frame["path"], strict=True):
-                free, path = json.loads(way)
-                texts.append(main_text(opened(parse(page), free), path))
+                free, ways = json.loads(way)
+                texts.append(main_text(opened(parse(page), free), ways))
             yield pd.DataFrame({"page_id": frame["page_id"].array, "url": frame["url"].array, "text": texts, "n_chars": [len(t) for t in texts]})
 
     schema = output(pages, "url string, text string, n_chars long", "page_id")

@@ -121,6 +121,24 @@ def test_parts_that_carry_the_article_are_not_marginal(spark):
     assert [r.text for r in extract(spark.createDataFrame([(1, "http://k/", beside)], "page_id long, url string, html string")).collect()] == [long.strip()]
 
 
+def test_no_page_loses_its_article_to_the_hosts_path(spark):
+    long = "many words of the text " * 20
+    text = long.strip()
+    pages = {
+        "lead": ([f"<body><h1>Title</h1><p>lead</p><div>{long * 3}</div></body>"], [f"Title\n\nlead\n\n{(long * 3).strip()}"]),
+        "templates": ([f"<body><div><div>{long}</div></div></body>"] * 19 + [f"<body><div>menu</div><p>{long}</p></body>"], [text] * 19 + ["menu\n\n" + text]),
+        "cards": ([f"<body><main><article>{long}</article></main></body>"] * 5 + [f"<body><div>{long}</div><main><article>a</article><article>b</article></main></body>"], [text] * 5 + [text + "\n\na\n\nb"]),
+        "several": ([f"<body><article>{long}</article><section><article>second {long}</article></section></body>"], [f"{text}\n\nsecond {text}"]),
+        "rarer": ([f"<div><p>{long}</p></div>"] * 9 + [f"<div class=search><h2>Work</h2><p>{long}</p></div>"], [text] * 9 + ["Work\n\n" + text]),
+        "title": ([f"<div><h1>Title</h1><p>by</p></div><article>{long}</article><ul><li><a>x</a></ul>"], ["Title\n\n" + text]),
+    }
+    rows = [(f"http://{h}/", i, page) for h, (given, _) in pages.items() for i, page in enumerate(given)]
+    got = extract(spark.createDataFrame([(i, url, page) for url, i, page in rows], "page_id long, url string, html string").repartition(3)).collect()
+    found = {(r.url[7:-1], r.page_id): r.text for r in got}
+    wrong = [(h, i) for h, (_, want) in pages.items() for i, x in enumerate(want) if found[h, i] != x]
+    assert wrong == []
+
+
 def test_patterns_fold_and_align():
     a, b = pattern(parse("<ul><li>1<li>2<li>3</ul><p>x</p>")), pattern(parse("<ul><li>1</ul><hr><p>x</p>"))
     from hazardline.llm.wrappers import _both
