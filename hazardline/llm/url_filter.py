@@ -14,7 +14,7 @@ from hazardline.session import stage_table
 
 #: (verdict, host and path); a rule fits the host and its subdomains if the path starts with the rule's.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Addresses with a known verdict to learn from, at most: those with the smallest hash.
+#: Distinct addresses with a known verdict that the trees are fitted on, at most: those with the smallest hash. Rates cover all rows.
 TRAIN_ROWS = 20_000
 TREES, DEPTH = 20, 4
 FEATURES = ["length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "dots", "dashes", "fragment", "longest_part", "suffix_rate", "suffix_weight", "domain_rate", "domain_weight"]
@@ -62,25 +62,29 @@ def _with_rates(rows: DataFrame, rates: dict[str, DataFrame], base: float) -> Da
 def url_verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, most: int = TRAIN_ROWS) -> DataFrame:
     """One row per row of ``pages`` (page_id, url): (page_id, host, path, rule, verdict, block_score).
 
-    The addresses that a rule decides are the labelled ones: trees learn from ``most`` of them at most, together with
-    how often their suffix and domain are blocked there, and judge the rest (``block_score`` >= 0.5 blocks). If the
+    The addresses that a rule decides are the labelled ones: trees learn from ``most`` distinct ones of them at most,
+    together with how often suffix and domain are blocked in all labelled rows, and judge the rest (``block_score`` >= 0.5 blocks). If the
     labelled rows have one verdict only, it is everyone's; without any, all is allowed. A null address, or one without
     ``://``, has an empty host and path and no rule. Repeated rows are judged alike; other columns are ignored.
     """
     rows = with_lexical(with_rule(with_parts(pages.select("page_id", "url")), rules))
     known = rows.where("rule is not null").withColumn("label", (F.col("ruling") == "block").cast("double"))
-    turn = F.md5(F.concat(F.lit("url:"), F.col("url")).cast("binary"))
-    sample = stage_table(known.orderBy(turn, "url").limit(most).drop("page_id", "path"), "labelled")
-    n, blocked = sample.agg(F.count("*"), F.sum("label")).first()
+    # a repeated address weighs by its rows in the rates and stands once in the sample
+    every = known.groupBy("suffix", "domain").agg(F.count("*").alias("rows"), F.sum("label").alias("blocked"))
+    every = stage_table(every, "counts")
+    n, blocked = every.agg(F.sum("rows"), F.sum("blocked")).first()
     if not n or blocked in (0, n):
         score = rows.withColumn("block_score", F.lit(1.0 if n and blocked else 0.0))
     else:
         base = blocked / n
         rates = {
-            key: sample.groupBy(key).agg(((F.sum("label") + 10 * base) / (F.count("*") + 10)).alias(f"{key}_rate"), F.log1p(F.count("*").cast("double")).alias(f"{key}_weight"))
+            key: every.groupBy(key).agg(((F.sum("blocked") + 10 * base) / (F.sum("rows") + 10)).alias(f"{key}_rate"), F.log1p(F.sum("rows").cast("double")).alias(f"{key}_weight"))
             for key in ("suffix", "domain")
         }
         rates = {k: stage_table(v, "rates") for k, v in rates.items()}
+        turn = F.md5(F.concat(F.lit("url:"), F.col("url")).cast("binary"))
+        distinct = known.select("url", "label", "suffix", "domain", *FEATURES[:10]).dropDuplicates(["url"])
+        sample = stage_table(distinct.orderBy(turn, "url").limit(most), "labelled")
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
         fit = stage_table(_with_rates(sample, rates, base).select("label", *FEATURES), "fit")
         trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, checkpointInterval=-1, maxMemoryInMB=64).fit(vectors.transform(fit).select("features", "label"))

@@ -177,3 +177,25 @@ def test_pipeline_stages(spark):
         assert set(after) <= before and len(after) == len(set(after))
     out = corpus_pipeline.run(spark, FOLDER).collect()
     assert out and all(r.copies >= 1 and r.taken == r.copies * r.size for r in out)
+
+
+def test_url_rates_cover_all_labelled_rows(spark, monkeypatch):
+    from hazardline.llm import url_filter
+
+    seen = []
+    kept = url_filter._with_rates
+    monkeypatch.setattr(url_filter, "_with_rates", lambda rows, rates, base: (seen.append((rates, base)), kept(rows, rates, base))[1])
+    hosts = [f"s{i}.com" for i in range(60)]
+    rows = [f"http://{h}/{'de' if i % 3 else 'fr'}/{j}" for i, h in enumerate(hosts) for j in range(5)] + ["http://hot.com/de/"] * 500 + ["http://s1.com/x"]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string").repartition(3)
+    assert url_verdicts(df, most=40).count() == len(rows)
+    rates, base = seen[0]
+    got = {r.domain: (r.domain_rate, r.domain_weight) for r in rates["domain"].collect()}
+    assert base == (200 + 500) / 800 and set(got) == {*hosts, "hot.com"}
+    for i, h in enumerate(hosts):
+        assert np.allclose(got[h], ((5 * (i % 3 > 0) + 10 * base) / 15, np.log1p(5)))
+    # one address in most rows does not fill the sample, wherever its hash stands
+    for name in "abcdef":
+        hot = ["http://" + name + ".com/de/"] * 400 + ["http://x.com/fr/1", "http://y.com/fr/2"] * 4 + ["http://x.com/zz"]
+        scores = url_verdicts(spark.createDataFrame(list(enumerate(hot)), "page_id long, url string"), most=20).collect()
+        assert len({r.block_score for r in scores}) > 1
