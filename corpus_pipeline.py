@@ -31,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class of near copies: the one with the smallest id. Rows without a text or an id stay."""
     ship_code(spark)
     classes = near_copies(docs)
-    first = classes.where("doc_id = class_id and copy is not null").groupBy("class_id").agg(F.min("copy").alias("copy"))
-    first = stage_table(first.withColumnRenamed("class_id", "doc_id"), "first")
+    first = classes.where("doc_id = class_id and copy is not null").groupBy("root").agg(F.min("class_id").alias("doc_id"), F.min("copy").alias("copy"))
+    first = stage_table(first.drop("root"), "first")
     key = F.unhex(F.md5(F.col("text").cast("binary")))
     whole = docs.where("doc_id is not null and text is not null").withColumn("copy", key)
     kept = whole.join(first, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"]).select(docs.columns)

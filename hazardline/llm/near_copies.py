@@ -243,12 +243,12 @@ def unsettled(groups: DataFrame, met: int) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows: int = 4) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): (doc_id, class_id, class_size, copy).
+    """One row per row of ``docs`` (doc_id, text): (doc_id, class_id, class_size, copy, root).
 
     Words are lower-cased runs of letters and digits, a shingle is five of them (all of them, if a text has fewer).
     Rows with the same text are one class whatever their length; different texts are linked at a similarity of
     ``threshold`` or more, and classes are what links connect. ``class_id`` is the smallest id in the class,
-    ``class_size`` its rows, ``copy`` the digest of the text (16 bytes). A text without words is linked to its equals only; each row
+    ``class_size`` its rows, ``copy`` the digest of the text (16 bytes), ``root`` that of one text of the class (ids may stand in several classes). A text without words is linked to its equals only; each row
     with a null text is a class of its own. Ids may repeat; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -299,8 +299,8 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows:
         ends = texts.join(roots.withColumnRenamed("node", "copy"), "copy", "left").select("copy", F.coalesce("root", "copy").alias("root"), "doc_id", "n")
     ends = stage_table(ends, "ends")
     classes = stage_table(ends.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size")), "classes")
-    of_text = stage_table(ends.join(classes, "root").select("copy", "class_id", "class_size"), "of_text")
+    of_text = stage_table(ends.join(classes, "root").select("copy", "class_id", "class_size", "root"), "of_text")
     alone = F.col("copy").isNull()
     return signed.select("doc_id", "copy").join(of_text, "copy", "left").select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("class_size")).alias("class_size"), "copy"
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("class_size")).alias("class_size"), "copy", "root"
     )

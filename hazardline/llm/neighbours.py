@@ -59,11 +59,20 @@ class VantageTree:
         visit(self.root, np.arange(len(queries)))
 
 
+def _smallest(ids: np.ndarray, k: int) -> np.ndarray:
+    """Of ids in order, as many as leave the k smallest when all of any one id are left out."""
+    first = np.append(True, ids[1:] != ids[:-1])
+    start = np.flatnonzero(first)
+    place = np.arange(len(ids)) - np.repeat(start, np.diff(np.append(start, len(ids))))
+    return ids[place < k][: 2 * k]
+
+
 def nearest_in_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float, top_norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, id, score) of each query's best k in the shard, ties to the smaller id.
 
     Largest inner product is least distance once each vector has one more component that brings it to the norm
-    ``top_norm``. Equal vectors are one point that keeps its k + 1 smallest ids.
+    ``top_norm``. Equal vectors are one point that keeps the smallest ids, each at most k times, until k remain without
+    any one of them.
     """
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
@@ -71,7 +80,7 @@ def nearest_in_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray
     member = member.ravel()
     by_point = np.argsort(member, kind="stable")
     start = np.searchsorted(member[by_point], np.arange(len(points) + 1))
-    held = [ids[by_point[a : min(b, a + k + 1)]] for a, b in zip(start[:-1], start[1:], strict=True)]
+    held = [_smallest(ids[by_point[a:b]], k) for a, b in zip(start[:-1], start[1:], strict=True)]
     norms = (points**2).sum(1)
     tree = VantageTree(np.column_stack([points, np.sqrt(np.maximum(top_norm**2 - norms, 0))]))
     flat = np.column_stack([queries, np.zeros(len(queries))])
@@ -115,7 +124,8 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, relax: float =
 
     ``embeddings`` (vec_id, embedding). Score is the inner product in double precision, rank 1 the largest, ties to the
     smaller id. Vectors that are null, all zero, or hold a null or non-finite component take no part, nor do rows
-    without id; repeated ids are separate candidates, and a query's own id never is one. Vectors must have one length.
+    without id; repeated ids are separate candidates, and a query's own id never is one. A query repeated with the same
+    vector asks once; one with several vectors is ranked over the answers of all. Vectors must have one length.
     Shards hold about ``SHARD_ROWS`` vectors, so a task's memory does not grow; each block of ``BLOCK_ROWS`` queries
     meets every shard once. ``relax`` 1 is exact.
     """
@@ -126,8 +136,10 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, relax: float =
     n, n_queries, top = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max(norm)).first()
     shards, parts = 1 + n // SHARD_ROWS, 1 + n_queries // BLOCK_ROWS
     deal = F.xxhash64("vec_id", "vector")
-    trees = rows.withColumn("shard", F.pmod(deal, F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(lambda _, t: _pack(t, "shard"), "shard int, n long, data binary")
-    blocks = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(deal, F.lit(parts)).cast("int"))
+    # repeated rows are dealt out one by one, and asked once
+    number = F.xxhash64("vec_id", "vector", F.monotonically_increasing_id())
+    trees = rows.withColumn("shard", F.pmod(number, F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(lambda _, t: _pack(t, "shard"), "shard int, n long, data binary")
+    blocks = rows.where(F.col("vec_id") % every == 0).distinct().withColumn("block", F.pmod(deal, F.lit(parts)).cast("int"))
     blocks = blocks.groupBy("block").applyInArrow(lambda _, t: _pack(t, "block"), "block int, n long, data binary")
     # every block meets every shard: as many rows as blocks times shards, each of bounded size
     asked = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("n").alias("asked"), F.col("data").alias("queries"))

@@ -45,7 +45,7 @@ def op9(table):
 
 @query("op10_near_copies")
 def op10(table):
-    return near_copies(table("documents")).drop("copy")
+    return near_copies(table("documents")).drop("copy", "root")
 
 
 @query("op6_contamination")
