@@ -20,10 +20,15 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Strings worth a look: unbroken runs of the characters that keys are made of.
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+_SEPARATORS = "+/_=-"
+#: What stands between separators: a UUID, or letters and digits.
+_PART = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _WORD = "(?:[A-Z]*+[a-z]{2,}+|[A-Z]{2,}+|[0-9]++)"
 _WORDY = re.compile(rf"{_WORD}(?:[_/+=-]*+{_WORD})*+")
+_WORDS = re.compile(rf"{_WORD}(?:{_WORD})*+")
 _encoders: dict = {}
 
 
@@ -46,18 +51,56 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _random(run: str, count: Callable[[str], int], ratio: float) -> bool:
+    """Few characters per token, and neither a number, a digest nor an identifier."""
+    if len(run) < LEAST or run.isdigit() or _UUID.fullmatch(run) or len(run) in (32, 40, 56, 64, 96, 128) and _DIGEST.fullmatch(run):
+        return False
+    if _WORDY.fullmatch(run) and sum(c.isdigit() for c in run) <= len(run) // 4:
+        return False
+    return len(run) <= ratio * count(run)
+
+
+def _keys(run: str, count: Callable[[str], int], ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run: all of it, or neighbouring parts that are not words, or single parts.
+
+    Words between separators would dilute a key beside them, so they end a group of parts, as UUIDs and digests do.
+    """
+    parts = [(m.start(), m.end()) for m in _PART.finditer(run)]
+    known = [bool(_UUID.fullmatch(run, a, b) or b - a in (32, 40, 56, 64, 96, 128) and _DIGEST.fullmatch(run, a, b)) for a, b in parts]
+    if not any(known) and _random(run, count, ratio):
+        return [(0, len(run))]
+    odd = [not (k or _WORDS.fullmatch(run, a, b)) for k, (a, b) in zip(known, parts, strict=True)]
+    groups: list[list[tuple[int, int]]] = []
+    for k, (a, b) in enumerate(parts):
+        short = b - a <= 4 and 0 < k < len(parts) - 1 and odd[k - 1] and odd[k + 1]  # a few letters of a key between its separators
+        if not (odd[k] or short):
+            groups.append([])
+        elif groups:
+            groups[-1].append((a, b))
+        else:
+            groups.append([(a, b)])
+    found = []
+    for group in filter(None, groups):
+        start, end = group[0][0], group[-1][1]
+        if _random(run[start:end], count, ratio):
+            found.append((start, end))
+        else:
+            found += [(a, b) for a, b in group if len(group) > 1 and _random(run[a:b], count, ratio)]
+    return found
+
+
 def random_spans(text: str, base: list[tuple[int, int, int]], count: Callable[[str], int], ratio: float) -> list[tuple[int, int, int]]:
-    """Strings with few characters per token, unless a digest, an identifier, or inside a base span."""
+    """Strings with few characters per token outside base spans, unless a number, a digest or an identifier."""
     found = []
     for m in _RUN.finditer(text):
-        run = m[0]
-        digits = sum(c.isdigit() for c in run)
-        if not digits or digits == len(run) or any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
-        if _UUID.fullmatch(run) or len(run) in (32, 40, 56, 64, 96, 128) and _DIGEST.fullmatch(run) or _WORDY.fullmatch(run) and digits <= len(run) // 4:
-            continue
-        if len(run) <= ratio * count(run):
-            found.append((m.start(), 3, m.end()))
+        at, cuts = m.start(), [(a, b) for a, _, b in base if a < m.end() and m.start() < b]
+        for a, b in [*cuts, (m.end(), m.end())]:
+            piece = text[at:a] if at < a else ""
+            if cuts:
+                piece = piece.lstrip(_SEPARATORS)
+            if len(piece) >= LEAST:
+                found += [(a - len(piece) + x, 3, a - len(piece) + y) for x, y in _keys(piece, count, ratio)]
+            at = max(at, b)
     return found
 
 
@@ -69,8 +112,9 @@ def secret_scan(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = 2.
     """One row per row of ``docs`` (doc_id, text): (doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans[, masked]).
 
     ``assign``, ``access`` and ``hex`` are the leftmost matches of fixed patterns; ``random`` are unbroken strings of 16
-    or more key characters, digits among them, with at most ``ratio`` characters per token of the rank file
-    ``vocabulary``; digests in hex, UUIDs and identifiers made of words and short numbers are not. ``spans`` lists
+    or more key characters outside the fixed patterns with at most ``ratio`` characters per token of the rank file
+    ``vocabulary``, or their parts between separators; numbers, digests in hex, UUIDs and identifiers made of words and
+    short numbers are not. ``spans`` lists
     kind:start:end in code points, end exclusive, by start and then kind; ``base_sha256`` hashes those of the fixed
     patterns. With ``mask``, ``masked`` is the text with each span (overlaps merged) replaced by it. A null text counts
     as empty and stays null when masked; ids may repeat; of other columns those named in ``carry`` come along after doc_id.

@@ -50,3 +50,21 @@ def test_long_runs_take_linear_time(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(runs)], "doc_id long, text string")
     assert secret_scan(df).count() == 3
     assert all(r.n_random in (0, 1) for r in secret_scan(df).collect())
+
+
+def test_keys_beside_words_and_base_spans_are_found(spark):
+    rng = random.Random(4)
+    new = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    before = ["database_connection_credentials_value=", "/en/articles/archive/files/downloads/public/", "authorization_value="]
+    keys = [(w, new(n)) for w in before for n in (16, 20, 24, 32) for _ in range(25)]
+    rows = [(i, f"see {w}{k} there") for i, (w, k) in enumerate(keys)]
+    half = [f"AKIA{'Q7' * 8}/{new(40)}", f"/{new(32)}/token=abcdef"]
+    letters = ["".join(rng.choice(string.ascii_letters) for _ in range(32)) for _ in range(20)]
+    fine = ["/files/123e4567-e89b-12d3-a456-426614174000", "/a/DA39A3EE5E6B4B0D3255BFEF95601890AFD80709/x", "/en/articles/2024/01/15/some-long-title-of-words/"]
+    rows += [(1000 + i, t) for i, t in enumerate(half)] + [(2000 + i, t) for i, t in enumerate(letters)] + [(3000 + i, t) for i, t in enumerate(fine)]
+    got = {r.doc_id: r for r in secret_scan(spark.createDataFrame(rows, "doc_id long, text string"), mask="*").collect()}
+    hit = [k not in got[i].masked for i, (_, k) in enumerate(keys)]
+    assert sum(hit) >= 0.97 * len(keys), sum(hit)
+    assert got[1000].n_random == got[1001].n_random == 1
+    assert sum(got[2000 + i].n_random for i in range(20)) >= 18
+    assert [got[3000 + i].n_random for i in range(len(fine))] == [0] * len(fine)
