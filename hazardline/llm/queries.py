@@ -11,6 +11,7 @@ from hazardline.llm import mixing
 from hazardline.llm.contamination import contamination
 from hazardline.llm.near_copies import near_copies
 from hazardline.llm.neighbours import nearest
+from hazardline.llm.prefix_trie import prefix_trie
 from hazardline.llm.quality import fit_quality, held_out, quality_scores
 from hazardline.llm.secrets import secret_scan
 from hazardline.llm.substring import substring_dedup
@@ -84,3 +85,34 @@ def op5(table):
 @query("op7_neighbours")
 def op7(table):
     return nearest(table("embeddings"))
+
+
+SQL_TRIE = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+  c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, CASE WHEN conv_id % 20 = 0 THEN 0 ELSE xor(4294967295,
+      list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+        lambda acc, b: list_reduce(list_concat([xor(acc, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 4 END AS h
+    FROM t GROUP BY conv_id),
+  k AS (SELECT c.conv_id, any_value(h) AS h, count(t.pos) AS k FROM c LEFT JOIN t ON t.conv_id = base AND t.pos <= h GROUP BY c.conv_id),
+  rebuilt AS (SELECT c.conv_id, t.pos AS d, role, text FROM c JOIN t ON t.conv_id = base AND t.pos <= h
+    UNION ALL SELECT t.conv_id, t.pos - h + k, role, text FROM t JOIN k ON t.conv_id = k.conv_id WHERE t.pos > h),
+  p AS (SELECT conv_id, d, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY d) AS prefix,
+      len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM rebuilt
+    UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+  e AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS last FROM p),
+  nodes AS (SELECT prefix, min(conv_id) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(words) AS words,
+      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM e GROUP BY prefix),
+  linked AS (SELECT n.*, up.prefix AS above, up.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes up ON n.depth > 0 AND up.prefix = n.prefix[:-65]),
+  kids AS (SELECT above, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY above),
+  full_nodes AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN kids ON kids.above = l.prefix),
+  sums AS (SELECT p.prefix, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * u.words) AS saved_tokens
+    FROM full_nodes u JOIN p ON p.conv_id = u.conv_id AND p.d <= u.depth GROUP BY p.prefix)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM full_nodes JOIN sums USING (prefix)"""
+
+
+@query("op11_prefix_trie", SQL_TRIE)
+def op11(table):
+    conv = F.col("conv_id")
+    return prefix_trie(table("conversations"), (conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4))
