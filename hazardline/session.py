@@ -62,14 +62,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage_table(df: DataFrame, name: str = "stage") -> DataFrame:
+def stage_table(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut, and later reads prune columns.
 
+    ``by`` names a column whose values get folders of their own, so that a filter on it reads only those.
+
     The files go when the session ends, or earlier by ``drop_staged``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     context = spark.sparkContext
     if not hasattr(context, "_hazardline_staged"):
         context._hazardline_staged = []
