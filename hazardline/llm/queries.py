@@ -11,6 +11,7 @@ from hazardline.llm import mixing
 from hazardline.llm.contamination import contamination
 from hazardline.llm.near_copies import near_copies
 from hazardline.llm.neighbours import nearest
+from hazardline.llm.phrases import collocations
 from hazardline.llm.prefix_trie import prefix_trie
 from hazardline.llm.quality import fit_quality, held_out, quality_scores
 from hazardline.llm.secrets import secret_scan
@@ -116,3 +117,30 @@ FROM full_nodes JOIN sums USING (prefix)"""
 def op11(table):
     conv = F.col("conv_id")
     return prefix_trie(table("conversations"), (conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4))
+
+
+SQL_PHRASES = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+  p AS (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+  g AS (SELECT lang, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: ws[i:i + size - 1])) AS g
+    FROM w, (VALUES (1), (2), (3), (4)) v(size) WHERE len(ws) >= size),
+  f AS (SELECT lang, g, count(*) AS c FROM g GROUP BY lang, g),
+  o AS (SELECT * FROM f WHERE c >= 30),
+  total AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE len(g) = 1 GROUP BY lang),
+  cand AS (SELECT * FROM o WHERE len(g) > 1),
+  cuts AS (SELECT lang, g, c, k, g[1:k] AS x, g[k + 1:] AS y FROM cand, (VALUES (1), (2), (3)) v(k) WHERE k < len(g)),
+  scored AS (SELECT u.lang, u.g, u.c, k, x.c AS l, y.c AS r, 2000000::HUGEINT * u.c // (x.c + y.c) AS score
+    FROM cuts u JOIN o x ON x.lang = u.lang AND x.g = u.x JOIN o y ON y.lang = u.lang AND y.g = u.y
+    QUALIFY row_number() OVER (PARTITION BY u.lang, u.g ORDER BY score, k) = 1),
+  inner_spans AS (SELECT lang, c, g[s:s + m - 1] AS sub FROM cand, (VALUES (1), (2), (3)) a(s), (VALUES (2), (3)) b(m) WHERE m < len(g) AND s + m - 1 <= len(g)),
+  gone AS (SELECT DISTINCT i.lang, sub FROM inner_spans i JOIN cand s ON s.lang = i.lang AND s.g = sub WHERE 100 * i.c >= 80 * s.c),
+  ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, c AS a, l, r, score::BIGINT AS score,
+      row_number() OVER (PARTITION BY lang ORDER BY score DESC, c DESC, array_to_string(g, ' ')) AS rank
+    FROM scored s WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.lang = s.lang AND gone.sub = s.g))
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
+@query("op12_phrases", SQL_PHRASES)
+def op12(table):
+    return collocations(table("documents"))
