@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hazardline.llm import mixing
 from hazardline.llm.contamination import contamination
+from hazardline.llm.jaccard_join import jaccard_components
 from hazardline.llm.near_copies import near_copies
 from hazardline.llm.neighbours import nearest
 from hazardline.llm.phrases import collocations
@@ -144,3 +145,26 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang)
 @query("op12_phrases", SQL_PHRASES)
 def op12(table):
     return collocations(table("documents"))
+
+
+SQL_JACCARD = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [ws] ELSE
+    list_transform(range(1, len(ws) - 2), lambda i: ws[i:i + 3]) END) AS grams FROM w),
+  sizes AS (SELECT doc_id, len(grams)::BIGINT AS n FROM s),
+  e AS (SELECT doc_id, n, unnest(list_transform(grams, lambda g: hash(g))) AS g FROM s JOIN sizes USING (doc_id)),
+  lists AS (SELECT doc_id, any_value(n) AS n, list(g) AS gs FROM e GROUP BY doc_id),
+  ranked AS (SELECT doc_id, n, g, row_number() OVER (PARTITION BY doc_id ORDER BY often, g) AS place
+    FROM e JOIN (SELECT g, count(*) AS often FROM e GROUP BY g) USING (g)),
+  rare AS (SELECT doc_id, n, g FROM ranked WHERE place <= n - (85 * n + 99) // 100 + 1),
+  pairs AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM rare a JOIN rare b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * b.n >= 85 * a.n AND 100 * a.n >= 85 * b.n),
+  links AS (SELECT x, y FROM (SELECT x, y, p.n + q.n AS both_sizes, len(list_intersect(p.gs, q.gs)) AS common
+    FROM pairs JOIN lists p ON p.doc_id = x JOIN lists q ON q.doc_id = y) WHERE 100 * common >= 85 * (both_sizes - common)),
+  reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
+SELECT doc_id, n AS n_shingles, min(other) AS component_id FROM sizes JOIN reach USING (doc_id) GROUP BY doc_id, n"""
+
+
+@query("op13_jaccard_join", SQL_JACCARD)
+def op13(table):
+    return jaccard_components(table("documents"))
