@@ -32,7 +32,7 @@ _FAN = 8
 #: Sets in a block, rows of one task's group of block pairs, and node pairs it opens at a time.
 _BLOCK, _GROUP, _OPEN = 512, 60_000, 200_000
 #: Partners of a set under one shingle that are compared in each round; all in the last.
-_ROUNDS = (2, 32, None)
+_ROUNDS = (8, None)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -193,20 +193,24 @@ def _traverse(percent: int, most: int | None) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         unit, side, n, reach = (np.asarray(table.column(c), np.int64) for c in ("unit", "side", "n", "reach"))
-        root = np.unique(np.array(table.column("root").to_pylist(), object), return_inverse=True)[1]
+        root = np.asarray(table.column("root"), np.int64)
         order = np.lexsort((n, root, side, unit))
         owner = np.cumsum(np.append(True, np.diff(unit[order]) != 0) | np.append(True, np.diff(side[order]) != 0)) - 1
         forest = Forest(owner, n[order], reach[order], root[order], _lanes(table.column("bits"))[order])
-        tops, pairs = len(forest.levels[-1]["owner"]), [(np.zeros(0, np.int64),) * 2]
+        tops, pairs, left = len(forest.levels[-1]["owner"]), [(np.zeros(0, np.int64),) * 2], 0
         for u, v in forest.meet(np.arange(0, tops, 2), np.arange(1, tops, 2), percent):
             pairs.append((u, v))
             if most and sum(len(p[0]) for p in pairs) > 10 * _OPEN:
+                left += sum(len(p[0]) for p in pairs)
                 pairs = [_nearest(forest, *map(np.concatenate, zip(*pairs, strict=True)), most)]
+                left -= len(pairs[0][0])
         u, v = map(np.concatenate, zip(*pairs, strict=True))
         if most:
+            left += len(u)
             u, v = _nearest(forest, u, v, most)
-        copy = table.column("copy").take(pa.array(order))
-        return pa.table({"copy": copy.take(pa.array(u)), "leader": copy.take(pa.array(v))})
+            left -= len(u)
+        copy = np.asarray(table.column("copy"), np.int64)[order]
+        return pa.table({"copy": np.minimum(copy[u], copy[v]), "leader": np.maximum(copy[u], copy[v]), "more": np.full(len(u), left > 0)})
 
     return run
 
@@ -223,7 +227,10 @@ def _nearest(forest: Forest, u: np.ndarray, v: np.ndarray, most: int) -> tuple[n
 
 
 def by_trees(members: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """(copy, leader): pairs of different classes among the sets under each ``key`` of ``members``, by dual traversal."""
+    """(copy, leader, more): pairs of different classes among the sets under each ``key`` of ``members``, by dual traversal.
+
+    With ``most``, a set has no more partners than that in a block pair; ``more`` tells that some were left for later.
+    """
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("of_root"))
     rest = sizes.where(F.col("of_root") <= _BLOCK).groupBy("key").agg(F.sum("of_root").alias("of_rest"))
     dealt = members.join(sizes, ["key", "root"]).join(rest, "key", "left")
@@ -253,9 +260,8 @@ def by_trees(members: DataFrame, percent: int, most: int | None) -> DataFrame:
         for i, c in enumerate(("left", "right"))
     ]
     group = F.pmod(F.xxhash64("unit"), F.lit(max(1, math.ceil(rows / _GROUP))))
-    met = sides[0].unionByName(sides[1]).groupBy(group.alias("group")).applyInArrow(_traverse(percent, most), "copy binary, leader binary")
-    met = met.select(F.least("copy", "leader").alias("copy"), F.greatest("copy", "leader").alias("leader")).distinct()
-    met = stage_table(met, "met")
+    met = sides[0].unionByName(sides[1]).groupBy(group.alias("group")).applyInArrow(_traverse(percent, most), "copy long, leader long, more boolean")
+    met = stage_table(met.groupBy("copy", "leader").agg(F.max("more").alias("more")), "met")
     drop_staged(dealt, tops, units)
     return met
 
@@ -276,7 +282,8 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     signed = stage_table(docs.mapInArrow(_sign(rarity, size, percent, arrow_schema(schema)), schema), "signed")
     one = F.min(F.struct("doc_id", "mark")).alias("one")
     sets = signed.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("doc_id"), one, *(F.any_value(c).alias(c) for c in ("n", "unseen", "rare", "bits")))
-    sets = stage_table(sets, "sets")
+    # numbers in place of digests, which would be most of every shuffle below; they are written once and then stay
+    sets = stage_table(sets.withColumnRenamed("copy", "digest").withColumn("copy", F.monotonically_increasing_id()), "sets")
     rare = sets.select("copy", "n", F.posexplode("rare").alias("pos", "key")).select("key", "copy", "n", (F.col("n") - F.col("pos")).alias("reach"))
     shared = stage_table(rare.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "shared")
     under = stage_table(rare.join(shared, "key"), "under")
@@ -290,16 +297,21 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     roots, checked = contract(None, links.where("linked").select("copy", "leader")), links
     for most in _ROUNDS:
         classed = under.join(roots.withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
-        open_ = unsettled(stage_table(classed, "classed"), 0)
+        classed = stage_table(classed, "classed")
+        open_ = unsettled(classed, 1)
+        drop_staged(classed)
         if open_.isEmpty():
             break
-        pairs = by_trees(open_.join(sets.select("copy", "unseen", "bits"), "copy"), percent, most).join(checked, ["copy", "leader"], "left_anti")
-        links = _compared(pairs, docs, sets, size, percent)
+        met = by_trees(open_.join(sets.select("copy", "unseen", "bits"), "copy"), percent, most)
+        drop_staged(open_)
+        links = _compared(met.drop("more").join(checked, ["copy", "leader"], "left_anti"), docs, sets, size, percent)
         roots, checked = contract(roots, links.where("linked").select("copy", "leader")), checked.unionByName(links)
-    ends = sets.join(roots.withColumnRenamed("node", "copy"), "copy", "left").select("copy", F.coalesce("root", "copy").alias("root"), "doc_id")
+        if met.where("more").isEmpty():
+            break
+    ends = sets.join(roots.withColumnRenamed("node", "copy"), "copy", "left").select("digest", F.coalesce("root", "copy").alias("root"), "doc_id")
     ends = stage_table(ends, "ends")
     classes = stage_table(ends.groupBy("root").agg(F.min("doc_id").alias("component_id")), "classes")
-    of_set = stage_table(ends.join(classes, "root").select("copy", "component_id"), "of_set")
+    of_set = stage_table(ends.join(classes, "root").select(F.col("digest").alias("copy"), "component_id"), "of_set")
     drop_staged(under, sets, ends, classes)
     found = signed.select("doc_id", "copy", "n").join(of_set, "copy", "left")
     own = F.when(F.col("copy").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -309,7 +321,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """(copy, leader, linked) of the pairs whose bitmaps allow the threshold."""
     a, b = (sets.select("copy", "n", "bits").toDF(key, f"n_{x}", f"bits_{x}") for key, x in (("copy", "a"), ("leader", "b")))
-    able = pairs.join(a, "copy").join(b, "leader").mapInArrow(lambda batches: _may_reach(batches, percent), "copy binary, leader binary")
+    able = pairs.join(a, "copy").join(b, "leader").mapInArrow(lambda batches: _may_reach(batches, percent), "copy long, leader long")
     able = stage_table(able, "able")
     needed = able.select("copy").union(able.select("leader")).distinct().join(sets.select("copy", "one"), "copy")
     # one row of each set is read, by its id as well, so a text with many copies is dealt out like any other
@@ -317,6 +329,6 @@ def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, per
     texts = docs.join(needed, (F.col("mark") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
     texts = stage_table(texts.groupBy("copy").agg(F.any_value("text").alias("text")), "texts")
     both = able.join(texts, "copy").join(texts.toDF("leader", "other"), "leader").select("copy", "leader", "text", "other")
-    compared = stage_table(both.mapInArrow(_verify(size, percent), "copy binary, leader binary, linked boolean"), "compared")
+    compared = stage_table(both.mapInArrow(_verify(size, percent), "copy long, leader long, linked boolean"), "compared")
     drop_staged(able, needed, texts)
     return compared
