@@ -31,6 +31,8 @@ _LANES = 16
 _FAN = 8
 #: Sets in a block, rows of one task's group of block pairs, and node pairs it opens at a time.
 _BLOCK, _GROUP, _OPEN = 512, 60_000, 200_000
+#: Cells of text hashes by which texts are picked before they are joined.
+_CELLS = 1 << 21
 #: Partners of a set under one shingle that are compared in each round; all in the last.
 _ROUNDS = (8, None)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -326,7 +328,11 @@ def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, per
     needed = able.select("copy").union(able.select("leader")).distinct().join(sets.select("copy", "one"), "copy")
     # one row of each set is read, by its id as well, so a text with many copies is dealt out like any other
     needed = stage_table(needed.select("copy", F.col("one.doc_id").alias("id"), F.col("one.mark").alias("of")), "needed")
-    texts = docs.join(needed, (F.col("mark") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    # at most 2^21 cells go out; they keep most texts that no pair needs from the shuffle
+    cell = F.pmod(F.col("mark"), F.lit(_CELLS)).alias("cell")
+    cells = needed.select(F.pmod(F.col("of"), F.lit(_CELLS)).alias("cell")).distinct()
+    near = docs.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi")
+    texts = near.join(needed, (F.col("mark") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
     texts = stage_table(texts.groupBy("copy").agg(F.any_value("text").alias("text")), "texts")
     both = able.join(texts, "copy").join(texts.toDF("leader", "other"), "leader").select("copy", "leader", "text", "other")
     compared = stage_table(both.mapInArrow(_verify(size, percent), "copy long, leader long, linked boolean"), "compared")
