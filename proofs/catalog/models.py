@@ -15,6 +15,7 @@ from hazardline.operators.importance import permutation_importance as importance
 from hazardline.operators import search
 from hazardline.operators.ordering import stratified_split
 from hazardline.operators.prepare import Standardizer, assemble_features
+from hazardline.operators.tree_table import fit_trees
 from hazardline.plans import features as W
 from hazardline.session import cut_lineage, shared_dir
 from hazardline.sources import tables as T
@@ -51,32 +52,52 @@ def unlabelled_rows(t, model):
 
 def fitted(t, params):
     rows, model = cohort_rows(t)
-    return model, R.fit_forests(rows, [R.ModelSpec(params)], "features", "time", "event", "id", names=model.names)
-
-
-def nodes(spark, forests):
-    """Node table of the fitted trees."""
-    rows = [
-        (m, i, n, int(tree.feature[n]) if tree.left[n] != n else None, int(tree.left[n]), int(tree.right[n]), float(tree.size[n]), float(tree.risk[n]))
-        for m, trees in enumerate(forests.trees) for i, tree in enumerate(trees) for n in range(len(tree.feature))
-    ]
-    return spark.createDataFrame(rows, "model int, tree int, node int, feature int, left int, right int, size double, risk double")
+    return model, fit_trees(rows, [R.ModelSpec(params)], "features", "time", "event", "id", names=model.names)
 
 
 @proof("survival_forest_fit")
 def survival_forest_fit(t):
-    return nodes(t.spark, fitted(t, SMALL)[1])
+    return fitted(t, R.FOREST_BASE)[1].nodes
 
 
 @proof("extra_survival_trees_fit")
 def extra_survival_trees_fit(t):
-    return nodes(t.spark, fitted(t, R.ForestParams(20, 3, 3, splitter="random", max_depth=6))[1])
+    return fitted(t, R.EXTRA_TREES)[1].nodes
 
 
 @proof("survival_forest_score")
 def survival_forest_score(t):
-    model, forests = fitted(t, SMALL)
-    return unlabelled_rows(t, model).select("id", forests.score_column("features").alias("risk_score"))
+    model, trees = fitted(t, R.FOREST_TUNED)
+    return trees.score(unlabelled_rows(t, model), "features").select("id", "risk_score")
+
+
+SQL_ROOT = """, seen AS (SELECT time, event, x2, coalesce(n, 0)::DOUBLE AS items FROM labelled JOIN subjects USING (id)
+       LEFT JOIN (SELECT id, count(*) AS n FROM obs GROUP BY id) o USING (id)),
+   cells AS (SELECT f, v, time, count(*) AS n, sum(event) AS d
+       FROM (SELECT 0 AS f, x2 AS v, time, event FROM seen UNION ALL SELECT 1, items, time, event FROM seen) GROUP BY f, v, time),
+   times AS (SELECT time, count(*) AS n, sum(event) AS d, sum(count(*)) OVER (ORDER BY time DESC) AS y FROM seen GROUP BY time),
+   cuts AS (SELECT f, v, lead(v) OVER (PARTITION BY f ORDER BY v) AS above FROM (SELECT DISTINCT f, v FROM cells)),
+   below AS (SELECT c.f, c.v, c.above, e.time, sum(e.n) AS n, sum(e.d) AS d FROM cuts c JOIN cells e ON e.f = c.f AND e.v <= c.v
+       WHERE above IS NOT NULL GROUP BY c.f, c.v, c.above, e.time),
+   filled AS (SELECT c.f, c.v, c.above, t.time, t.d, t.y, coalesce(b.d, 0) AS dl,
+         sum(coalesce(b.n, 0)) OVER (PARTITION BY c.f, c.v ORDER BY t.time DESC) AS yl, coalesce(b.n, 0) AS nl
+       FROM (SELECT * FROM cuts WHERE above IS NOT NULL) c CROSS JOIN times t LEFT JOIN below b ON b.f = c.f AND b.v = c.v AND b.time = t.time),
+   stats AS (SELECT f, v, above, sum(nl) AS n, sum(dl - d * yl / y) AS gap,
+         sum(CASE WHEN y > 1 THEN yl / y * (1 - yl / y) * d * (y - d) / (y - 1) ELSE 0 END) AS var FROM filled GROUP BY f, v, above)
+   SELECT CAST(f AS INT) AS feature, round((v + above) / 2, 9) AS cut, n::DOUBLE AS n_left, CAST((SELECT count(*) FROM seen) AS DOUBLE) AS n
+   FROM stats WHERE n >= 15 AND (SELECT count(*) FROM seen) - n >= 15 AND var > 1e-12 ORDER BY gap * gap / var DESC LIMIT 1"""
+
+
+@proof("survival_forest_root", SQL_ROOT)
+def survival_forest_root(t):
+    """The first split of a tree over all rows and both features, exact in cuts and event times."""
+    items = t.obs.groupBy("id").agg(F.count("*").cast("double").alias("items"))
+    rows = t.labelled.join(t.subjects.select("id", "x2"), "id").join(items, "id", "left").fillna(0.0, ["items"])
+    rows = rows.select("id", "time", "event", F.array("x2", "items").alias("features"))
+    one = R.ForestParams(1, 10, 15, max_features=None, max_depth=1, bootstrap=False)
+    nodes = fit_trees(rows, [R.ModelSpec(one)], "features", "time", "event", "id").nodes
+    root, left = nodes.where("depth = 0 and feature >= 0").alias("r"), nodes.alias("l")
+    return root.join(left, F.col("r.left") == F.col("l.node")).select("r.feature", F.round("r.cut", 9).alias("cut"), F.col("l.size").alias("n_left"), F.col("r.size").alias("n"))
 
 
 @proof("cox_ph")
