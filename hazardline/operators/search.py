@@ -6,7 +6,6 @@ differ only in ``n_estimators`` therefore share one forest, scored on its leadin
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import asdict, replace
 from itertools import product
@@ -160,7 +159,7 @@ def grid_search(
         else:
             slim = _slim(placed, features, time, event, F.lit(1.0))
         long = _score_trials(forests, slim, scored_by)
-        per_fold = concordance(long, "t", "ev", "risk", "w", ["param_id", "grp"], group_rows=math.ceil(placed.count() / folds))
+        per_fold = concordance(long, "t", "ev", "risk", "w", ["param_id", "grp"])
         scores = per_fold.groupBy("param_id").agg(F.avg("cindex").alias("score"), F.count("cindex").cast("int").alias("folds"))
     return _table(df.sparkSession, trials, base, failed, scores)
 
@@ -193,7 +192,7 @@ def random_search(
         forests = fit_forests(placed, specs, features, time, event, key, "grp", names)
         held = ipcw_weights(placed.where("grp = 0"), placed.where("grp = 1"), time, event, tau=tau, out="__w")
         long = _score_trials(forests, _slim(held, features, time, event, F.col("__w") * F.col("__w")), [{}, valid])
-        metric = concordance(long, "t", "ev", "risk", "w", ["param_id"], group_rows=placed.where("grp = 1").count())
+        metric = concordance(long, "t", "ev", "risk", "w", ["param_id"])
         scores = metric.select("param_id", F.col("cindex").alias("score"))
     return _table(spark, trials, base, failed, scores)
 

@@ -1,21 +1,18 @@
 """Product-limit curves, censoring weights and concordance for right-censored labels.
 
-Concordance compares pairs, but never lists them. Time and risk are cut into value buckets, and a
-pair is counted in exactly one of three places:
-
-* different time bucket and different risk bucket: from cumulative counts over the grid of cells;
-* same time bucket: inside that time strip;
-* same risk bucket but different time bucket: inside that risk strip.
-
-A strip is counted in O(m log^2 m) by sorted look-ups, one strip per group, and strips have a bounded
-row count: a time or a risk value frequent enough to overfill a bucket gets a bucket of its own, and such
-a bucket needs no strip, since its pairs are decided by the buckets alone.
+Concordance compares pairs, but never lists them. Rows are cut into ranges of time. Pairs inside a range are counted by
+sorted look-ups, in O(m log^2 m) for its bounded number of rows. The numbers of two different ranges first differ at one
+bit; for each bit, the ranges that agree above it form a group whose earlier half is counted against its later half by a
+running sum along the risk. That is one shuffle of log(ranges) narrow rows for each row, for all evaluated groups at
+once, and no group of rows is ever whole in one task. A time frequent enough to overfill a range gets one of its own,
+which needs no count inside, as its pairs are those of events with censorings.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,10 +26,10 @@ from hazardline.operators.ordering import (
     edges_from_quantiles,
     even_shares,
 )
-from hazardline.session import cut_lineage
+from hazardline.session import cut_lineage, stage_table
 
 ROWS_PER_STRIP = 250_000
-MAX_STRIPS = 4096  # the grid has at most twice its square in cells
+RANGES = 16  # ranges of time at least
 TAU = 7.0  # fixed value: evaluation horizon in years
 
 
@@ -107,8 +104,12 @@ def ipcw_weights(
     """1/G(t) for events before ``tau``, 0 for every other row.
 
     An event where G is 0, or past the last train time while G is still positive, has no weight:
-    the query fails with a message rather than returning one.
+    the query fails with a message rather than returning one. So does a row without a time or an event; rows
+    whose group is null are a group of their own.
     """
+    missing = F.raise_error(F.lit("missing time or event")).cast("double")
+    known = F.col(time).isNotNull() & F.col(event).isNotNull()
+    evaluated = evaluated.withColumn(time, F.when(known, F.col(time)).otherwise(missing))
     curve = censoring_curve(train, evaluated, time, event, by, rows_per_bucket)
     counts = F.col(event).cast("boolean")
     if tau is not None:
@@ -120,7 +121,10 @@ def ipcw_weights(
         .when(F.col("g") <= 0, F.raise_error(F.lit("censoring survival is zero at an event time")).cast("double"))
         .otherwise(F.lit(1.0) / F.col("g"))
     )
-    return evaluated.join(curve, [*by, time]).withColumn(out, weight).drop("at_risk", "g")
+    curve = curve.select(F.col(time).alias("__time"), *(F.col(c).alias(f"__by_{c}") for c in by), "at_risk", "g")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by), F.col(time) == F.col("__time"))
+    joined = evaluated.join(curve, same).withColumn(out, weight)
+    return joined.drop("at_risk", "g", "__time", *(f"__by_{c}" for c in by))
 
 
 # ---- concordance -------------------------------------------------------------------------------
@@ -150,105 +154,67 @@ def _count_strip(order: np.ndarray, risk: np.ndarray, weight: np.ndarray) -> tup
     return float(wi @ good), float(wi @ comparable)
 
 
-def _strip_totals(strips: DataFrame, keys: list[str], by_time: bool) -> DataFrame:
+def _strip_totals(strips: DataFrame, keys: list[str]) -> DataFrame:
     fields = [f for f in strips.schema.fields if f.name in keys]
     names = [f.name for f in fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", num double, den double"
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if by_time:
-            # an event comes before the censorings of its own time, and is no partner of other events there
-            order = 2 * np.unique(pdf["t"].to_numpy(), return_inverse=True)[1] + pdf["c"].to_numpy()
-        else:
-            order = pdf["tb"].to_numpy()
-        num, den = _count_strip(order, pdf["risk"].to_numpy(), pdf["w"].to_numpy())
-        return pd.DataFrame([[*key, num, den if by_time else 0.0]], columns=[*names, "num", "den"])
+        # an event comes before the censorings of its own time, and is no partner of other events there
+        order = 2 * np.unique(pdf["t"].to_numpy(), return_inverse=True)[1] + pdf["c"].to_numpy()
+        return pd.DataFrame([[*key, *_count_strip(order, pdf["risk"].to_numpy(), pdf["w"].to_numpy())]], columns=[*names, "num", "den"])
 
     return strips.groupBy(*names).applyInPandas(count, schema)
 
 
-def _grid_totals(cells: DataFrame, by: list[str], n_t: int, n_r: int, r_hot: list[int]) -> DataFrame:
-    """Pairs in different time and risk buckets (and ties inside a one-value risk bucket)."""
-    groups = cells.select(*by).distinct() if by else cells.sparkSession.range(1).select()
-    dense = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).alias("tb")).select(
-        *by, "tb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).alias("rb")
-    )
-    full = dense.join(cells, [*by, "tb", "rb"], "left").fillna(0, subset=["n", "w"])
-    down = Window.partitionBy(*by, "rb").orderBy(F.desc("tb")).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*by, "tb").orderBy("rb").rowsBetween(Window.unboundedPreceding, -1)
-    none = F.lit(0)
-    counted = (
-        full.withColumn("later", F.coalesce(F.sum("n").over(down), none))
-        .withColumn("lower", F.coalesce(F.sum("later").over(across), none))
-        .withColumn("all", F.sum("later").over(Window.partitionBy(*by, "tb")))
-    )
-    tied = F.when(F.col("rb").isin(r_hot), 0.5 * F.col("later")).otherwise(0.0) if r_hot else F.lit(0.0)
-    return counted.where(F.col("w") > 0).select(
-        *by, (F.col("w") * (F.col("lower") + tied)).alias("num"), (F.col("w") * F.col("all")).alias("den")
+def _between_ranges(placed: DataFrame, by: list[str], bits: int) -> DataFrame:
+    """Pairs of rows in different ranges ``tb``: concordant ones and half of the ties, and the comparable ones."""
+    rows = placed.select(*by, "tb", "risk", "w", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("bit"))
+    late = F.expr("shiftright(tb, bit)").bitwiseAND(F.lit(1)) == 1
+    halves = rows.groupBy(*by, "bit", F.expr("shiftright(tb, bit + 1)").alias("above"), "risk").agg(
+        F.count(F.when(late, 1)).alias("n"), F.sum(F.when(late, 0.0).otherwise(F.col("w"))).alias("w")
     )
+    along = OrderedTable(halves, "risk", [*by, "bit", "above"]).running({"lower": F.col("n")}).result()
+    good = along.where("w > 0").select(*by, (F.col("w") * (F.col("lower") - 0.5 * F.col("n"))).alias("num"), F.lit(0.0).alias("den"))
+    backward = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc("tb")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy(*by, "tb").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    ranges = ranges.withColumn("later", F.coalesce(F.sum("n").over(backward), F.lit(0)))
+    return good.unionByName(ranges.select(*by, F.lit(0.0).alias("num"), (F.col("w") * F.col("later")).alias("den")))
 
 
 def concordance(
-    df: DataFrame,
-    time: str,
-    event: str,
-    risk: str,
-    weight: str | None = None,
-    by: Sequence[str] = (),
-    rows_per_strip: int = ROWS_PER_STRIP,
-    group_rows: int | None = None,
+    df: DataFrame, time: str, event: str, risk: str, weight: str | None = None, by: Sequence[str] = (), rows_per_strip: int = ROWS_PER_STRIP
 ) -> DataFrame:
     """Weighted concordance per group: ``numerator``, ``denominator`` and their ratio ``cindex``.
 
     Row i counts if it is an event with positive weight; its partners are the rows later in time, and
     those of equal time that are censored. Equal risk scores count one half. ``cindex`` is NULL if no
-    pair is comparable. ``group_rows``, the size of the largest group, saves a count where
-    the caller knows it: groups that small are counted whole, one task each.
+    pair is comparable. A row without a time, an event or a risk score is an error.
     """
     by = list(by)
     score = F.col(risk).cast("double")
-    missing = F.raise_error(F.lit("missing risk score")).cast("double")
-    is_event = F.col(event).cast("int")
+    missing = lambda what: F.raise_error(F.lit(f"missing {what}"))
+    is_event = F.coalesce(F.col(event).cast("int"), missing("event").cast("int"))
     base = df.select(
         *by,
-        F.col(time).cast("double").alias("t"),
+        F.coalesce(F.col(time).cast("double"), missing("time").cast("double")).alias("t"),
         (1 - is_event).alias("c"),
-        F.when(score.isNull() | F.isnan(score), missing).otherwise(score).alias("risk"),
+        F.when(score.isNull() | F.isnan(score), missing("risk score").cast("double")).otherwise(score).alias("risk"),
         (is_event * (F.col(weight) if weight else F.lit(1.0))).cast("double").alias("w"),
     )
-    if group_rows is None:
-        group_rows = largest_group(df, by)
-    if group_rows <= rows_per_strip:
-        keys = by or ["__all"]
-        parts = _strip_totals(base if by else base.withColumn("__all", F.lit(1)), keys, True).select(*by, "num", "den")
-    else:
-        parts = _bucketed_totals(cut_lineage(base), by, rows_per_strip)
+    base = stage_table(base, "pairs")
+    # ranges over all groups together, so that a strip is bounded however the groups' times differ
+    wanted = max(RANGES, math.ceil(base.count() / rows_per_strip))
+    edges, hot = edges_from_quantiles(base.select(F.percentile_approx("t", even_shares(wanted), F.lit(20 * wanted))).first()[0] or [])
+    placed = bucketize(base, "t", edges, "slot")
+    one_time = F.col("slot").isin(hot) if hot else F.lit(False)
+    placed = placed.withColumn("tb", 2 * F.col("slot") + F.when(one_time, F.col("c")).otherwise(0))
+    inside = _strip_totals(placed.where(~one_time), [*by, "tb"]).select(*by, "num", "den")
+    parts = inside.unionByName(_between_ranges(placed, by, max(1, (2 * len(edges) + 1).bit_length())))
     totals = parts.groupBy(*by).agg(F.sum("num").alias("numerator"), F.sum("den").alias("denominator"))
     return totals.withColumn("cindex", F.try_divide("numerator", "denominator"))
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-
-
-def _bucketed_totals(base: DataFrame, by: list[str], rows_per_strip: int) -> DataFrame:
-    # buckets over all groups together, so that a strip is bounded however the groups' values differ
-    buckets = max(2, min(MAX_STRIPS, math.ceil(base.count() / rows_per_strip)))
-    shares = even_shares(buckets)
-    found = base.select(*[F.percentile_approx(c, shares, F.lit(20 * buckets)) for c in ("t", "risk")]).first()
-    (t_edges, t_hot), (r_edges, r_hot) = (edges_from_quantiles(q) for q in found)
-    placed = bucketize(bucketize(base, "t", t_edges, "slot"), "risk", r_edges, "rb")
-    one_time = F.col("slot").isin(t_hot) if t_hot else F.lit(False)
-    one_risk = F.col("rb").isin(r_hot) if r_hot else F.lit(False)
-    placed = placed.withColumn("tb", 2 * F.col("slot") + F.when(one_time, F.col("c")).otherwise(0))
-    time_strips = _strip_totals(placed.where(~one_time), [*by, "tb"], True)
-    risk_strips = _strip_totals(placed.where(~one_risk), [*by, "rb"], False)
-    cells = placed.groupBy(*by, "tb", "rb").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
-    grid = _grid_totals(cells, by, 2 * len(t_edges) + 2, len(r_edges) + 1, r_hot)
-    kept = [*by, "num", "den"]
-    return time_strips.select(*kept).unionByName(risk_strips.select(*kept)).unionByName(grid.select(*kept))
-
-
 def ipcw_cindex(
     train: DataFrame,
     evaluated: DataFrame,
@@ -268,7 +234,7 @@ def ipcw_cindex(
     curve_by = [c for c in by if c in train.columns] if train_by is None else list(train_by)
     weighted = ipcw_weights(train, evaluated, time, event, curve_by, tau)
     squared = weighted.withColumn("__w2", F.col("weight") * F.col("weight"))
-    return concordance(squared, time, event, risk, "__w2", by, rows_per_strip, largest_group(evaluated, by))
+    return concordance(squared, time, event, risk, "__w2", by, rows_per_strip)
 
 
 def harrell_cindex(

@@ -130,3 +130,17 @@ def test_evaluator(labels):
     assert ConcordanceEvaluator().isLargerBetter()
     with pytest.raises(ValueError, match="no comparable pairs"):
         ConcordanceEvaluator().evaluate(scored.withColumn("event", F.lit(0)))
+
+
+def test_lost_labels_are_errors(spark, labels):
+    rows = spark.createDataFrame([("A", 1.0, 1, 9.0), ("B", None, 1, 4.0)], "id string, time double, event int, risk double")
+    for make in (lambda: S.harrell_cindex(rows, "time", "event", "risk"), lambda: S.ipcw_weights(labels, rows, "time", "event")):
+        with pytest.raises(Exception, match="missing time"):
+            make().collect()
+
+
+def test_null_groups_keep_their_weights(spark):
+    rows = [(g, float(t), int(t % 3 != 0), float(-t)) for g in (None, "a") for t in range(1, 9)]
+    df = spark.createDataFrame(rows, "part string, time double, event int, risk double")
+    got = S.ipcw_weights(df, df, "time", "event", ["part"]).groupBy("part").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()
+    assert len(got) == 2 and got[0]["w"] == pytest.approx(got[1]["w"]) and got[0]["n"] == got[1]["n"] == 8
