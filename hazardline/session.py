@@ -98,3 +98,29 @@ def drop_staged(*tables: DataFrame) -> None:
         gone = [p for p in getattr(context, "_hazardline_staged", []) if any(f.startswith(p) or p in f for f in table.inputFiles())]
         _drop(context, gone)
         context._hazardline_staged = [p for p in context._hazardline_staged if p not in gone]
+
+
+class Staging:
+    """A scope for tables from ``stage_table``: on leaving it, all that were staged inside are deleted but those kept.
+
+    >>> with Staging(spark) as scope:
+    ...     result = scope.keep(stage_table(...))
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.context, self.kept = spark.sparkContext, []
+
+    def __enter__(self) -> "Staging":
+        self.before = list(getattr(self.context, "_hazardline_staged", []))
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept += table.inputFiles()
+        return table
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            since = [p for p in getattr(self.context, "_hazardline_staged", []) if p not in self.before]
+            gone = [p for p in since if not any(p in f or f.startswith(p) for f in self.kept)]
+            _drop(self.context, gone)
+            self.context._hazardline_staged = [p for p in self.context._hazardline_staged if p not in gone] if since else self.before
