@@ -91,11 +91,17 @@ def _drop(context, paths: list[str]) -> None:
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _holding(paths: list[str], files: list[str]) -> list[str]:
+    """The paths that any of the files lies under; a path may be written in several ways, so its own folder name decides."""
+    folders = {part for f in files for part in f.split("/")}
+    return [p for p in paths if p.rsplit("/", 1)[1] in folders]
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Delete the files of tables from ``stage_table`` that nothing reads any more."""
     for table in tables:
         context = table.sparkSession.sparkContext
-        gone = [p for p in getattr(context, "_hazardline_staged", []) if any(f.startswith(p) or p in f for f in table.inputFiles())]
+        gone = _holding(getattr(context, "_hazardline_staged", []), table.inputFiles())
         _drop(context, gone)
         context._hazardline_staged = [p for p in context._hazardline_staged if p not in gone]
 
@@ -121,6 +127,8 @@ class Staging:
     def __exit__(self, kind, *_) -> None:
         if kind is None:
             since = [p for p in getattr(self.context, "_hazardline_staged", []) if p not in self.before]
-            gone = [p for p in since if not any(p in f or f.startswith(p) for f in self.kept)]
+            held = _holding(since, self.kept)
+            gone = [p for p in since if p not in held]
             _drop(self.context, gone)
-            self.context._hazardline_staged = [p for p in self.context._hazardline_staged if p not in gone] if since else self.before
+            if gone:
+                self.context._hazardline_staged = [p for p in self.context._hazardline_staged if p not in gone]
