@@ -17,13 +17,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardline.llm.arrays import LOWER, NON_BLANK, Words, buffers, long_array, mix, slices
 from hazardline.llm.near_copies import contract, unsettled
 from hazardline.llm.repeats import arrow_schema, keyed, output
-from hazardline.session import drop_staged, stage_table
+from hazardline.session import Staging, drop_staged, stage_table
 
 #: Buckets of the table of shingle frequencies, which only orders shingles.
 _BUCKET_BITS = 18
@@ -279,6 +279,15 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     """
     spark = docs.sparkSession
     docs = keyed(docs)
+    with Staging(spark) as scope:
+        signed, of_set = (scope.keep(table) for table in _components(spark, docs, size, percent))
+    found = signed.select("doc_id", "copy", "n").join(of_set, "copy", "left")
+    own = F.when(F.col("copy").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+
+
+def _components(spark: SparkSession, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(the rows with the digests of their sets, the component of each set)."""
     rarity = spark.sparkContext.broadcast(_frequencies(docs, size))
     schema = output(docs, "mark long, copy binary, n int, unseen int, rare array<long>, bits binary")
     signed = stage_table(docs.mapInArrow(_sign(rarity, size, percent, arrow_schema(schema)), schema), "signed")
@@ -314,10 +323,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     ends = stage_table(ends, "ends")
     classes = stage_table(ends.groupBy("root").agg(F.min("doc_id").alias("component_id")), "classes")
     of_set = stage_table(ends.join(classes, "root").select(F.col("digest").alias("copy"), "component_id"), "of_set")
-    drop_staged(under, sets, ends, classes)
-    found = signed.select("doc_id", "copy", "n").join(of_set, "copy", "left")
-    own = F.when(F.col("copy").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+    return signed, of_set
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:

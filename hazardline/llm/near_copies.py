@@ -17,12 +17,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazardline.llm.arrays import ALPHANUMERIC, LOWER, Words, buffers, long_array, mix, slices
 from hazardline.llm.repeats import arrow_schema, output
-from hazardline.session import stage_table
+from hazardline.session import Staging, stage_table
 
 SHINGLE = 5
 BUCKET_BITS = 18
@@ -253,6 +253,16 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("copy"), "text")
+    with Staging(spark) as scope:
+        signed, of_text = (scope.keep(table) for table in _classes(spark, docs, threshold, bands, rows))
+    alone = F.col("copy").isNull()
+    return signed.select("doc_id", "copy").join(of_text, "copy", "left").select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("class_size")).alias("class_size"), "copy", "root"
+    )
+
+
+def _classes(spark: SparkSession, docs: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(the rows with the digests of their texts, the class of each text)."""
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
     schema = output(docs, "copy binary, bands array<long>")
     signed = stage_table(docs.mapInArrow(_sign(idf, bands, rows, arrow_schema(schema)), schema), "signed")
@@ -300,7 +310,4 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, bands: int = 10, rows:
     ends = stage_table(ends, "ends")
     classes = stage_table(ends.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("class_size")), "classes")
     of_text = stage_table(ends.join(classes, "root").select("copy", "class_id", "class_size", "root"), "of_text")
-    alone = F.col("copy").isNull()
-    return signed.select("doc_id", "copy").join(of_text, "copy", "left").select(
-        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("class_size")).alias("class_size"), "copy", "root"
-    )
+    return signed, of_text

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazardline.llm.arrays import NON_BLANK, Prefix, Words, buffers, byte_values, long_array, mix, slices, sliding_first_min
-from hazardline.session import stage_table
+from hazardline.session import Staging, drop_staged, stage_table
 
 RANGE = "array<struct<start:int,end:int>>"
 
@@ -103,22 +103,25 @@ def repeated_ranges(texts: DataFrame, shape: Shape, resolve: Callable[[DataFrame
     (doc_id, mark, start, end) for the repeated windows among those with n = 1.
     """
     schema = output(texts, "mark long, seed long, span long, start int, count int")
-    found = stage_table(texts.mapInArrow(_scan(shape, arrow_schema(schema)), schema), "spans")
-    # staged, as a join can only split a hot seed if both its sides come straight from a shuffle
-    shared = stage_table(found.groupBy("seed").count().where("count > 1").select("seed"), "shared")
-    hits = stage_table(found.join(shared, "seed"), "hits")
-    spans = hits.groupBy("seed", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "start", "count")).alias("one"))
-    spans = stage_table(spans, "kinds")
-    mixed = stage_table(spans.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1").select("seed", "kinds"), "mixed")
-    needed = (
-        spans.join(mixed, "seed")
-        .groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.mark").alias("mark"))
-        .agg(F.collect_list(F.struct("seed", "span", "n", "kinds", "one.start", "one.count")).alias("spans"))
-    )
-    equal = hits.join(spans.where("n > 1").select("seed", "span"), ["seed", "span"])
-    equal = equal.select("doc_id", "mark", "start", (F.col("start") + F.col("count") - 1 + shape.window).alias("end"))
-    every = equal.unionByName(resolve(texts, needed, shape))
-    return every.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).cast(RANGE).alias("ranges"))
+    with Staging(texts.sparkSession) as scope:
+        found = stage_table(texts.mapInArrow(_scan(shape, arrow_schema(schema)), schema), "spans")
+        # staged, as a join can only split a hot seed if both its sides come straight from a shuffle
+        shared = stage_table(found.groupBy("seed").count().where("count > 1").select("seed"), "shared")
+        hits = stage_table(found.join(shared, "seed"), "hits")
+        drop_staged(found, shared)
+        spans = hits.groupBy("seed", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "start", "count")).alias("one"))
+        spans = stage_table(spans, "kinds")
+        mixed = stage_table(spans.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1").select("seed", "kinds"), "mixed")
+        needed = (
+            spans.join(mixed, "seed")
+            .groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.mark").alias("mark"))
+            .agg(F.collect_list(F.struct("seed", "span", "n", "kinds", "one.start", "one.count")).alias("spans"))
+        )
+        equal = hits.join(spans.where("n > 1").select("seed", "span"), ["seed", "span"])
+        equal = equal.select("doc_id", "mark", "start", (F.col("start") + F.col("count") - 1 + shape.window).alias("end"))
+        every = equal.unionByName(resolve(texts, needed, shape))
+        ranges = every.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).cast(RANGE).alias("ranges"))
+        return scope.keep(stage_table(ranges, "ranges"))
 
 
 def with_text(texts: DataFrame, needed: DataFrame) -> DataFrame:

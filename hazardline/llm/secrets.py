@@ -7,10 +7,12 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from hazardline.llm.repeats import arrow_schema
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The patterns whose matches are always secrets, in the order of their names in a tie.
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -109,7 +111,7 @@ def _said(spans: list[tuple[int, int, int]]) -> str:
 
 
 def secret_scan(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = 2.0, mask: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): (doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans[, masked]).
+    """One row per row of ``docs`` (doc_id, text): (doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random[, masked]).
 
     ``assign``, ``access`` and ``hex`` are the leftmost matches of fixed patterns; ``random`` are unbroken strings of 16
     or more key characters outside the fixed patterns with at most ``ratio`` characters per token of the rank file
@@ -120,28 +122,26 @@ def secret_scan(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = 2.
     as empty and stays null when masked; ids may repeat; of other columns those named in ``carry`` come along after doc_id.
     """
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long" + (", masked string" if mask is not None else "")
+    kept = ["doc_id", *carry]
+    schema = T.StructType([docs.schema[c] for c in kept] + T.StructType.fromDDL(columns).fields)
+    types = arrow_schema(schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(vocabulary)
-        for frame in frames:
+        for batch in batches:
             rows = []
-            for given in frame["text"]:
+            for given in batch.column("text").to_pylist():
                 text = given or ""
                 base = base_spans(text)
                 every = sorted(base + random_spans(text, base, lambda run: len(tokens.encode_ordinary(run)), ratio))
                 kinds = [k for _, k, _ in every]
-                row = [*(kinds.count(k) for k in range(4)), hashlib.sha256(_said(base).encode()).hexdigest(), _said(every)]
-                if mask is not None:
-                    row.append(masked(given, every, mask))
-                rows.append(row)
-            out = pd.DataFrame(rows, columns=names, dtype=object)
-            for at, column in enumerate(["doc_id", *carry]):
-                out.insert(at, column, frame[column].array)
-            yield out
-
-    columns = "n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string" + (", masked string" if mask is not None else "")
-    names = [c.split()[0] for c in columns.split(", ")]
-    schema = T.StructType([docs.schema[c] for c in ["doc_id", *carry]] + T.StructType.fromDDL(columns).fields)
-    return docs.select("doc_id", *(c for c in carry if c != "text"), "text").mapInPandas(scan, schema)
+                row = [*(kinds.count(k) for k in range(3)), hashlib.sha256(_said(base).encode()).hexdigest(), _said(every), kinds.count(3)]
+                rows.append([*row, masked(given, every, mask)] if mask is not None else row)
+            found = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(list(types)[len(kept) :])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *found], schema=types)
+
+    return docs.select("doc_id", *(c for c in carry if c != "text"), "text").mapInArrow(scan, schema)
 
 
 def masked(text: str | None, spans: list[tuple[int, int, int]], mask: str) -> str | None:
