@@ -20,50 +20,80 @@ QUALITY = 0.7
 MASK = "[secret]"
 
 
+def _packed(docs: DataFrame, *open_: str) -> tuple[DataFrame, str]:
+    """(``docs`` with every column inside one struct, beside the ``open_`` ones that a stage reads; the struct's name).
+
+    So no column of a user can meet one that an operator adds.
+    """
+    return docs.select(*open_, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole_row")), "whole_row"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from labelled documents among these, but for the held-out ones."""
+    """Documents that the classifier accepts; it learns from labelled documents among these, but for the held-out ones.
+
+    A null text is scored like an empty one, a repeated row like the first; other columns come back as they are.
+    """
     labels = ship_code(spark).read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    weights = fit_quality(docs, labels.where(~held_out("doc_id")))
-    return quality_scores(docs, weights).where(F.col("score") >= QUALITY).select(docs.columns)
+    packed, row = _packed(docs, "doc_id", "text")
+    weights = fit_quality(packed.drop(row), labels.where(~held_out("doc_id")))
+    return quality_scores(packed, weights).where(F.col("score") >= QUALITY).select(f"{row}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the smallest id. Rows without a text or an id stay."""
+    """One document of each class of near copies: the one with the smallest id. Rows without a text or an id stay.
+
+    Of repeated rows one stays; empty texts are copies of each other; other columns come back as they are.
+    """
     ship_code(spark)
-    classes = near_copies(docs)
+    packed, row = _packed(docs, "doc_id", "text")
+    classes = near_copies(packed.drop(row))
     first = classes.where("doc_id = class_id and copy is not null").groupBy("root").agg(F.min("class_id").alias("doc_id"), F.min("copy").alias("copy"))
     first = stage_table(first.drop("root"), "first")
     key = F.unhex(F.md5(F.col("text").cast("binary")))
-    whole = docs.where("doc_id is not null and text is not null").withColumn("copy", key)
-    kept = whole.join(first, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"]).select(docs.columns)
+    whole = packed.where("doc_id is not null and text is not null").withColumn("copy", key)
+    kept = whole.join(first, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"]).select(f"{row}.*")
     return kept.unionByName(docs.where("doc_id is null or text is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the runs of words that occur in the benchmark."""
+    """All documents, without the runs of words that occur in the benchmark.
+
+    A null text stays null; repeated rows are each cut; ``n_chars`` follows the text, other columns come back as they are.
+    """
     benchmark = ship_code(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return _with_text(docs, contamination(docs, benchmark, cut=True, carry=others), "clean")
+    packed, row = _packed(docs, "doc_id", "text")
+    return _with_text(docs, contamination(packed, benchmark, cut=True, carry=(row,)), row, "clean")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked."""
+    """All documents, with secrets masked.
+
+    A null text stays null; repeated rows are each masked; ``n_chars`` follows the text, other columns come back as they are.
+    """
     ship_code(spark)
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    return _with_text(docs, secret_scan(docs, mask=MASK, carry=others), "masked")
+    packed, row = _packed(docs, "doc_id", "text")
+    return _with_text(docs, secret_scan(packed, mask=MASK, carry=(row,)), row, "masked")
 
 
-def _with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
-    changed = changed.withColumn("text", F.col(text))
+def _with_text(docs: DataFrame, changed: DataFrame, row: str, text: str) -> DataFrame:
+    new = F.when(F.col(f"{row}.text").isNotNull(), F.col(text))
+    fresh = {"text": new}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(docs.columns)
+        fresh["n_chars"] = F.when(new.isNull(), F.col(f"{row}.n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+    return changed.select(*(fresh.get(c, F.col(f"{row}.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with how often each is taken."""
+    """The documents of the mix, with how often each is taken.
+
+    Columns of the mix whose name ``docs`` has already are added as ``mix_`` and that name. A null or empty text has no
+    words and takes no part in a target, repeated rows are documents of their own, null sources are one source.
+    """
     ship_code(spark)
-    return mixed_documents(docs)
+    packed, row = _packed(docs, "doc_id", "text", "source")
+    taken = mixed_documents(packed)
+    added = [F.col(c).alias(f"mix_{c}" if c in docs.columns else c) for c in ("size", "source_size", "target", "copies", "taken")]
+    return taken.select(f"{row}.*", *added)
 
 
 STAGES = [
