@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazardline.llm.arrays import LOWER, Words, buffers, long_array, mix, slices
@@ -23,11 +23,13 @@ from hazardline.llm.repeats import arrow_schema, list_parts
 from hazardline.session import drop_staged, stage_table
 
 LONGEST = 4
-SHARDS = 4
+SHARDS = 2
 #: Cells of the table of phrases at the threshold: 2 bytes each, 8 MB for each task.
 TABLE_BITS = 22
 #: Words that a task counts at a time.
 _SLICE = 1 << 20
+#: Phrases that a task remembers to have spelt (8 bytes each); beyond them it may spell one again.
+_TOLD = 1 << 20
 _NEVER = 255
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BREAK = np.zeros(256, bool)
@@ -149,6 +151,9 @@ def count_phrases(words: DataFrame, threshold: int, shards: int, bits: int) -> D
             "length", "a", "b", total.alias("n"), F.when(F.col("add") > 0, F.col("seen").bitwiseOR(mark)).otherwise(F.col("seen")).alias("seen"),
             F.coalesce("at", F.when(total >= threshold, step)).alias("at"),
         )
+        if step >= shards - 1:
+            # words are counted to the end by now, so the rare ones are done with
+            merged = merged.where((F.col("length") > 1) | (F.col("n") >= threshold))
         merged = stage_table(merged, "counts")
         if known is not None:
             drop_staged(known)
@@ -166,39 +171,60 @@ def count_phrases(words: DataFrame, threshold: int, shards: int, bits: int) -> D
 
 
 def _spell(wanted, bits: int, schema: pa.Schema) -> Callable:
-    """The phrases whose cell is wanted, as text, each with the hashes of all phrases inside it."""
+    """The phrases whose cell is wanted, as text, most of them once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = np.zeros(0, np.uint64)
         for batch in slices(batches, "text"):
             values, offsets, words = tokens(batch.column("text"))
             text = np.searchsorted(offsets[1:], np.arange(len(values)), "right")
-            salt = np.asarray(batch.column("salt"), np.int64).view(np.uint64)
-            salt = salt[text]
+            salt = np.asarray(batch.column("salt"), np.int64).view(np.uint64)[text]
             word = np.cumsum(values != 0) - 1
-            chain = {length: (value, there) for length, value, there in chains(values, salt)}
-            for length, (value, there) in chain.items():
+            for length, value, there in chains(values, salt):
                 cell = (value >> np.uint64(64 - bits)).astype(np.int64)
                 at = np.flatnonzero(there & wanted.value[cell]) if length > 1 else np.zeros(0, np.int64)
-                _, one = np.unique(value[at], return_index=True)
-                at = at[one]
+                key, one = np.unique(value[at], return_index=True)
+                new = ~np.isin(key, told)
+                at = at[one[new]]
                 if not len(at):
                     continue
-                parts = [(j, m) for m in range(1, length) for j in range(length - m + 1)]
-                starts, sizes = (pa.array(np.tile(np.array(x, np.int32), len(at))) for x in zip(*parts, strict=True))
-                a = long_array(np.stack([chain[m][0][at + j] for j, m in parts], 1).ravel())
-                b = long_array(np.stack([second_hash(values, salt, at + j, m) for j, m in parts], 1).ravel())
-                inner = pa.StructArray.from_arrays([starts, sizes, a, b], ["start", "length", "a", "b"])
-                lists = pa.ListArray.from_arrays(pa.array((np.arange(len(at) + 1) * len(parts)).astype(np.int32)), inner)
+                if len(told) < _TOLD:
+                    told = np.concatenate([told, key[new]])
                 spelt = [" ".join(words.data[words.start[w + j] : words.end[w + j]].tobytes().decode() for j in range(length)) for w in word[at]]
                 columns = [
                     batch.column("lang").take(pa.array(text[at])), pa.array(np.full(len(at), length)), long_array(value[at]),
-                    long_array(second_hash(values, salt, at, length)), pa.array(spelt, pa.string()), lists,
+                    long_array(second_hash(values, salt, at, length)), pa.array(spelt, pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
+def _parts(schema: pa.Schema) -> Callable:
+    """Each phrase (length, a, b, f, salt, phrase) beside every phrase inside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "phrase"):
+            values, offsets, _ = tokens(batch.column("phrase"))
+            salt = np.repeat(np.asarray(batch.column("salt"), np.int64).view(np.uint64), np.diff(offsets))
+            chain, size = {length: value for length, value, _ in chains(values, salt)}, np.asarray(batch.column("length"), np.int64)
+            for m in range(1, LONGEST):
+                for j in range(LONGEST - m + 1):
+                    rows = np.flatnonzero((size > m) & (j + m <= size))
+                    at = offsets[rows] + 1 + j  # each text begins with the mark of a piece
+                    pick, n = pa.array(rows), len(rows)
+                    columns = [batch.column(c).take(pick) for c in ("length", "a", "b", "f")] + [pa.array(np.full(n, j)), pa.array(np.full(n, m))]
+                    if n:
+                        columns += [long_array(chain[m][at]), long_array(second_hash(values, salt, at, m))]
+                        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def _arrow(spark: SparkSession, columns: str) -> pa.Schema:
+    return arrow_schema(spark.createDataFrame([], columns).schema)
+
+
 def collocations(
     docs: DataFrame, threshold: int = 30, most: int = 2000, covered: int = 80, shards: int = SHARDS, table_bits: int = TABLE_BITS
 ) -> DataFrame:
@@ -217,7 +243,7 @@ def collocations(
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").withColumn("salt", F.xxhash64("lang"))
     schema = "lang string, salt long, shard int, n long, words array<long>"
     dealt = docs.withColumn("shard", F.pmod(F.xxhash64("salt", "text"), F.lit(shards)).cast("int"))
-    words = stage_table(dealt.mapInArrow(_read(arrow_schema(spark.createDataFrame([], schema).schema)), schema), "words", by="shard")
+    words = stage_table(dealt.mapInArrow(_read(_arrow(spark, schema)), schema), "words", by="shard")
     sizes = stage_table(words.groupBy("lang").agg(F.sum("n").alias("words")), "sizes")
     counts = count_phrases(words, threshold, shards, table_bits)
     often = stage_table(counts.where(F.col("n") >= threshold), "often")
@@ -225,12 +251,13 @@ def collocations(
     cell = F.shiftrightunsigned("a", 64 - table_bits).alias("cell")
     wanted = np.zeros(1 << table_bits, bool)
     wanted[np.asarray(often.where("length > 1").select(cell).distinct().toArrow().column("cell"), np.int64)] = True
-    spelt = "lang string, length int, a long, b long, phrase string, parts array<struct<start:int,length:int,a:long,b:long>>"
-    found = docs.mapInArrow(_spell(spark.sparkContext.broadcast(wanted), table_bits, arrow_schema(spark.createDataFrame([], spelt).schema)), spelt)
+    spelt = "lang string, length int, a long, b long, phrase string"
+    found = docs.mapInArrow(_spell(spark.sparkContext.broadcast(wanted), table_bits, _arrow(spark, spelt)), spelt)
     key = ["length", "a", "b"]
-    found = found.join(often.withColumnRenamed("n", "f"), key).groupBy(*key).agg(*(F.any_value(c).alias(c) for c in ("lang", "phrase", "parts", "f")))
-    found = stage_table(found, "candidates")
-    parts = found.select(*(F.col(c).alias(f"of_{c}") for c in key), "f", F.explode("parts").alias("part")).select("of_length", "of_a", "of_b", "f", "part.*")
+    found = found.groupBy(*key).agg(F.any_value("lang").alias("lang"), F.any_value("phrase").alias("phrase")).join(often.withColumnRenamed("n", "f"), key)
+    found = stage_table(found.withColumn("salt", F.xxhash64("lang")), "candidates")
+    part = "of_length int, of_a long, of_b long, f long, start int, length int, a long, b long"
+    parts = found.mapInArrow(_parts(_arrow(spark, part)), part)
     parts = stage_table(parts.join(often.withColumnRenamed("n", "g"), key), "parts")
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     inside = parts.where((F.col("length") > 1) & (wide("f") * 100 >= wide("g") * covered)).select(*key).distinct()
@@ -240,7 +267,7 @@ def collocations(
     score = F.expr("2000000BD * cast(f as decimal(20,0)) div cast(l + r as decimal(20,0))")
     cuts = left.join(right, [*of, "k"]).groupBy(*of).agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
     cuts = cuts.select(*(F.col(f"of_{c}").alias(c) for c in key), "cut.score", "cut.l", "cut.r")
-    kept = found.drop("parts").join(inside, key, "left_anti").join(cuts, key)
+    kept = found.drop("salt").join(inside, key, "left_anti").join(cuts, key)
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("f"), "phrase")
     ranked = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).join(sizes, "lang")
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", F.col("f").alias("a"), "l", "r", F.col("words").alias("n"), "score")
