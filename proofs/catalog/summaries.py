@@ -11,8 +11,13 @@ from proofs.catalog.tables import r6
 from proofs.registry import proof
 from proofs.views import PAIRS, SETS
 
-GENES = [f"Brand#{i}" for i in range(1, 16)]
-TOP = GENES[:10]
+#: The items that SQL names; Spark takes the most frequent ones it finds, and there are no more than these.
+GENES = [f"Brand#{i}" for i in range(1, 26)]
+TOP_N, TOP_OF_SETS = 30, 10
+
+
+def fitted_items(t, n=TOP_N):
+    return A.top_n_list(t.obs, "gene", n)
 
 
 def quoted(items):
@@ -80,7 +85,8 @@ def value_frequencies(t):
     + f" FROM obs WHERE gene IN ({quoted(GENES)}) GROUP BY id",
 )
 def pivot_flag(t):
-    return A.summarize(t.obs.where(F.col("gene").isin(GENES)), "id", A.flag_columns("gene", GENES))
+    items = fitted_items(t)
+    return A.summarize(t.obs.where(F.col("gene").isin(items)), "id", A.flag_columns("gene", items))
 
 
 @proof(
@@ -89,7 +95,7 @@ def pivot_flag(t):
     + " FROM obs GROUP BY id",
 )
 def pivot_mean(t):
-    return rounded(A.summarize(t.obs, "id", A.mean_columns("gene", "vaf", GENES)), "id")
+    return rounded(A.summarize(t.obs, "id", A.mean_columns("gene", "vaf", fitted_items(t))), "id")
 
 
 def set_sql(stat):
@@ -98,19 +104,21 @@ def set_sql(stat):
         "count": "count(*) FILTER (gene IN ({m}))",
         "mean": "round(coalesce(avg(vaf) FILTER (gene IN ({m})), 0), 6)",
         "fraction_distinct": "round(count(DISTINCT gene) FILTER (gene IN ({m})) / {k}.0::DOUBLE, 6)",
-        "fraction_count": "round(coalesce(count(*) FILTER (gene IN ({m})) / nullif({s}, 0)::DOUBLE, 0), 6)",
+        "fraction_count": "round(coalesce(count(*) FILTER (gene IN ({m})) / nullif((SELECT count(*) FROM top WHERE gene IN ({m})), 0)::DOUBLE, 0), 6)",
         "interaction": "round(count(*) FILTER (gene IN ({m})) * coalesce(avg(vaf) FILTER (gene IN ({m})), 0), 6)",
     }
     made = [
-        forms[stat].format(m=quoted(members), k=len(members), s=len(set(members) & set(TOP))) + f" AS set_{name}_{stat}"
+        forms[stat].format(m=quoted(members), k=len(members)) + f" AS set_{name}_{stat}"
         for name, members in SETS.items()
     ]
-    return "SELECT id, " + ", ".join(made) + " FROM obs GROUP BY id"
+    top = f", top AS (SELECT gene FROM obs WHERE gene IS NOT NULL GROUP BY gene ORDER BY count(*) DESC, gene LIMIT {TOP_OF_SETS}) "
+    return (top if stat == "fraction_count" else "") + "SELECT id, " + ", ".join(made) + " FROM obs GROUP BY id"
 
 
 def set_query(stat):
     def run(t):
-        df = A.summarize(t.obs, "id", A.set_columns("gene", "vaf", SETS, [stat], top=TOP))
+        top = fitted_items(t, TOP_OF_SETS) if stat == "fraction_count" else None
+        df = A.summarize(t.obs, "id", A.set_columns("gene", "vaf", SETS, [stat], top=top))
         return df if stat in ("flag", "count") else rounded(df, "id")
 
     return run
