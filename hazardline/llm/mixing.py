@@ -52,7 +52,8 @@ def mix_sources(docs: DataFrame, seed: str = SEED, most: int = MOST, weights: tu
     docs = docs.drop("size", "source_size", "target", "copies", "taken")
     turn = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     sized = docs.select("doc_id", "source", n_words("text").alias("size"), turn.alias("turn"), F.xxhash64("text").alias("mark"))
-    sized = sized.withColumn("slice", F.substring("turn", 1, 3))
+    # every text is split into words once; what follows reads these narrow rows
+    sized = stage_table(sized.withColumn("slice", F.substring("turn", 1, 3)), "sized")
     slices = stage_table(sized.groupBy("source", "slice").agg(F.sum("size").alias("slice_size")), "slices")
     goals = targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), most, weights)
     ratio = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
