@@ -34,7 +34,7 @@ _BLOCK, _GROUP, _OPEN = 512, 60_000, 200_000
 #: Cells of text hashes by which texts are picked before they are joined.
 _CELLS = 1 << 21
 #: Partners of a set under one shingle that are compared in each round; all in the last.
-_ROUNDS = (64, None)
+_ROUNDS = (8, None)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
