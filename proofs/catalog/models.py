@@ -107,6 +107,36 @@ def cox_ph(t):
     return rows.select("id", model.score_column("features").alias("risk_score"))
 
 
+def sql_newton(steps: int) -> str:
+    """Newton steps on two features, written out: risk sets by a window over distinct times, the 2 x 2 system by hand."""
+    text = """, seen AS (SELECT time, event, x2 / 100 AS a, coalesce(n, 0)::DOUBLE AS b FROM labelled JOIN subjects USING (id)
+       LEFT JOIN (SELECT id, count(*) AS n FROM obs GROUP BY id) o USING (id)),
+   b0 AS (SELECT 0.0::DOUBLE AS p, 0.0::DOUBLE AS q)"""
+    for k in range(steps):
+        text += f""",
+   w{k} AS MATERIALIZED (SELECT time, sum(event) AS d, sum(event * a) AS da, sum(event * b) AS db, sum(w) AS w, sum(w * a) AS wa, sum(w * b) AS wb,
+         sum(w * a * a) AS waa, sum(w * a * b) AS wab, sum(w * b * b) AS wbb
+       FROM (SELECT *, exp(a * p + b * q) AS w FROM seen CROSS JOIN b{k}) GROUP BY time),
+   r{k} AS (SELECT d, da, db, sum(w) OVER o AS s, sum(wa) OVER o AS sa, sum(wb) OVER o AS sb, sum(waa) OVER o AS saa, sum(wab) OVER o AS sab,
+         sum(wbb) OVER o AS sbb FROM w{k} WINDOW o AS (ORDER BY time DESC ROWS UNBOUNDED PRECEDING)),
+   g{k} AS (SELECT sum(da - d * sa / s) AS ga, sum(db - d * sb / s) AS gb, sum(d * (saa / s - sa * sa / s / s)) AS haa,
+         sum(d * (sab / s - sa * sb / s / s)) AS hab, sum(d * (sbb / s - sb * sb / s / s)) AS hbb FROM r{k}),
+   b{k + 1} AS MATERIALIZED (SELECT p + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS p, q + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS q
+       FROM b{k} CROSS JOIN g{k})"""
+    return text + f" SELECT 'x2' AS feature, round(p, 7) + 0.0::DOUBLE AS beta FROM b{steps} UNION ALL SELECT 'items', round(q, 7) + 0.0::DOUBLE FROM b{steps}"
+
+
+@proof("cox_coefficients", sql_newton(6))
+def cox_coefficients(t):
+    """Coefficients of two features without a ridge, against Newton steps written out in SQL."""
+    items = t.obs.groupBy("id").agg(F.count("*").cast("double").alias("items"))
+    rows = t.labelled.join(t.subjects.select("id", F.col("x2") / 100), "id").toDF(*t.labelled.columns, "x2")
+    rows = rows.join(items, "id", "left").fillna(0.0, ["items"]).select("time", "event", F.array("x2", "items").alias("features"))
+    model = cox.fit_cox(rows, "features", "time", "event", 2, ridge=0.0, tolerance=1e-10)
+    found = t.spark.createDataFrame([("x2", float(model.beta[0])), ("items", float(model.beta[1]))], "feature string, beta double")
+    return found.select("feature", (F.round("beta", 7) + 0.0).alias("beta"))
+
+
 @proof("boosted_clinical_benchmark")
 def boosted_clinical_benchmark(t):
     spec = replace(FLAGSHIP, text=None, top_n=0, stats=(), item_flags=False, sets={}, pairs=(), density=None)
