@@ -7,6 +7,7 @@ partial row per input task. Entropy needs the subject total first and is a secon
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -109,6 +110,27 @@ def pair_columns(item: str, pairs: Sequence[tuple[str, str]], prefix: str = "bot
     ]
 
 
+def pair_counts(obs: DataFrame, key: str, item: str, block_items: int = 256) -> DataFrame:
+    """(a, b, n) with a < b: subjects in which both items occur, over all pairs of items that meet at all.
+
+    Items are dealt to blocks of about ``block_items``; a subject's items form one row a block, and pairs are made per pair
+    of blocks. Block pairs are spread by (subject, block), so a subject with very many items is the work of as many tasks
+    as it has blocks, and no row holds more than a block.
+    """
+    used = obs.select(F.col(key).alias("k"), F.col(item).alias("item")).where("k IS NOT NULL AND item IS NOT NULL")
+    blocks = max(1, math.ceil(used.agg(F.approx_count_distinct("item")).first()[0] / block_items))
+    block = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int").alias("block")
+    # distinct first, so that repeats of a hot subject are gone before its items are gathered
+    filled = used.distinct().groupBy("k", block).agg(F.collect_list("item").alias("items"))
+    listed = filled.groupBy("k").agg(F.collect_list("block").alias("blocks"))
+    earlier = F.explode(F.filter("blocks", lambda b: b <= F.col("block"))).alias("first")
+    others = filled.join(listed, "k").select("k", F.col("block").alias("second"), F.col("items").alias("others"), earlier)
+    met = filled.withColumnRenamed("block", "first").join(others, ["k", "first"])
+    one = met.select("first", "second", "others", F.explode("items").alias("x"))
+    both = one.select("first", "second", "x", F.explode("others").alias("y")).where("first <> second OR x < y")
+    return both.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def density_column(label: str, wanted: str, length: int, out: str = "density") -> Column:
     """Observations carrying one label per unit length; the label is compared as text."""
     return (F.count_if(F.col(label).cast("string") == wanted) / F.lit(float(length))).alias(out)

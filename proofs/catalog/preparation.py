@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from hazardline.functions import vectors as V
@@ -36,6 +38,19 @@ def one_hot(t):
     return P.OneHot.fit(df, "center").transform(df).drop("center")
 
 
+@proof(
+    "one_hot_wide",
+    """, keys AS (SELECT CAST(o_custkey AS VARCHAR) AS value, count(*) AS n FROM orders GROUP BY ALL)
+       SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INT) AS slot, n::DOUBLE AS n FROM keys""",
+)
+def one_hot_wide(t):
+    """Every customer a category: the sparse vectors of all orders, summed."""
+    df = t.read("orders").select(F.col("o_custkey").cast("string").alias("customer"))
+    hot = P.WideOneHot.fit(df, "customer")
+    total = hot.transform(df, "v").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("s"))
+    return hot.table.join(total.select(F.posexplode("s").alias("slot", "n")), "slot").select("value", "slot", "n")
+
+
 @proof(
     "standardize",
     """SELECT id, round((x2 - (SELECT avg(x2) FROM subjects)) / (SELECT stddev_pop(x2) FROM subjects), 6) + 0.0::DOUBLE AS x2,

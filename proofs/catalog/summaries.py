@@ -146,6 +146,15 @@ def co_occurrence(t):
     return A.summarize(t.obs, "id", A.pair_columns("gene", PAIRS))
 
 
+@proof(
+    "co_occurrence_all_pairs",
+    """, seen AS (SELECT DISTINCT id, gene FROM obs WHERE gene IS NOT NULL)
+       SELECT x.gene AS a, y.gene AS b, count(*) AS n FROM seen x JOIN seen y ON x.id = y.id AND x.gene < y.gene GROUP BY ALL""",
+)
+def co_occurrence_all_pairs(t):
+    return A.pair_counts(t.obs, "id", "gene")
+
+
 @proof(
     "column_moments",
     " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg({c}), 6) AS mean, round(var_pop({c}) / 1e6, 4) AS var_pop FROM subjects" for c in ("x1", "x2", "x3")),
