@@ -20,6 +20,7 @@ from hazardline.operators.importance import permutation_importance
 from hazardline.operators.ordering import stratified_split
 from hazardline.operators.prepare import Standardizer, assemble_features
 from hazardline.operators.survival import TAU, evaluate_by_cluster, evaluate_by_split
+from hazardline.operators.tree_table import fit_trees
 from hazardline.plans.features import PRESETS, FeatureSpec, fit_features
 from hazardline.session import cut_lineage
 
@@ -173,9 +174,9 @@ def run_experiment(exp: Experiment, train: Cohort, test: Cohort | None = None) -
         tables["search"] = cut_lineage(table)
         params = search.best_params(tables["search"], exp.params)
     if exp.importance or exp.select_top:
-        forests = fit_forests(learn, [ModelSpec(params)], "features", exp.time, exp.event, exp.key, names=names)
+        trees = fit_trees(learn, [ModelSpec(params)], "features", exp.time, exp.event, exp.key, names=names)
         table = permutation_importance(
-            forests, rows.where("part = 'valid'"), learn, "features", exp.time, exp.event, exp.key, names, tau=exp.tau
+            trees, rows.where("part = 'valid'"), learn, "features", exp.time, exp.event, exp.key, names, tau=exp.tau
         )
         tables["importance"] = cut_lineage(table)
     if exp.select_top:

@@ -217,8 +217,8 @@ def permutation_importance(t):
     rows, names = train_rows(t)
     parts = stratified_split(rows, "id", "event")
     train, valid = parts.where("part = 'train'"), parts.where("part = 'valid'")
-    forests = R.fit_forests(train, [R.ModelSpec(replace(SMALL, n_estimators=10))], "features", "time", "event", "id", names=names)
-    return importance(forests, valid, train, "features", "time", "event", "id", names, tau=TAU)
+    trees = fit_trees(train, [R.ModelSpec(R.FOREST_TUNED)], "features", "time", "event", "id", names=names)
+    return importance(trees, valid, train, "features", "time", "event", "id", names, tau=TAU)
 
 
 GRID = {"n_estimators": [5, 10], "min_samples_split": [10], "min_samples_leaf": [10, 20], "max_features": ["sqrt", "log2"]}
