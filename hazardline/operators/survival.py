@@ -164,7 +164,9 @@ def _strip_totals(strips: DataFrame, keys: list[str]) -> DataFrame:
         order = 2 * np.unique(pdf["t"].to_numpy(), return_inverse=True)[1] + pdf["c"].to_numpy()
         return pd.DataFrame([[*key, *_count_strip(order, pdf["risk"].to_numpy(), pdf["w"].to_numpy())]], columns=[*names, "num", "den"])
 
-    return strips.groupBy(*names).applyInPandas(count, schema)
+    # a stated number of partitions: strips cost time, not bytes, so small ones are not to be packed into one task
+    spread = strips.repartition(int(strips.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names)
+    return spread.groupBy(*names).applyInPandas(count, schema)
 
 
 def _between_ranges(placed: DataFrame, by: list[str], bits: int) -> DataFrame:
