@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import json
 import re
+import sys
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -38,7 +39,8 @@ _STATES = {"no", "not", "has", "have", "with", "without"}
 _TEXTUAL = _INLINE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "caption", "figcaption", "blockquote", "pre"}
 #: Elements that a new one of the same group ends.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_DEEPEST = 100
+#: Elements may be nested to any depth: functions here call themselves from Python code only, which takes heap, not C stack.
+_NESTING = 1 << 30
 
 
 class Element:
@@ -105,8 +107,7 @@ def parse(page: str | None) -> Element:
             hint = "+".join(sorted(marginal_words(tag, m[3])))
             element = Element(tag, bool(hint), hint)
         stack[-1].kids.append(element)
-        if len(stack) < _DEEPEST:
-            stack.append(element)
+        stack.append(element)
     return root
 
 
@@ -215,31 +216,40 @@ def released(root: list) -> list[list[str]]:
     """
 
     def holds(at: list, names: tuple[str, ...], through: bool = True) -> bool:
-        return at[0] in names or not at[0].endswith("-") and (through or " " not in at[0]) and any(holds(x, names, through) for x in at[3])
+        todo = [at]
+        while todo:
+            node = todo.pop()
+            if node[0] in names:
+                return True
+            if not node[0].endswith("-") and (through or " " not in node[0]):
+                todo += node[3]
+        return False
 
     outside, half, out = holds(root, ("article", "main"), False), _gross(root) / 2, []
+    path: list[str] = []
 
-    def walk(at: list, path: list[str]) -> None:
+    def walk(at: list) -> None:
         for kid in at[3]:
-            here = [*path, kid[0]]
             if kid[0].endswith("-"):
                 continue
-            if " " in kid[0]:
-                if not holds(kid, ("main",)) and (outside or not holds(kid, ("article",)) and _gross(kid) <= half):
-                    continue
-                out.append(here)
-            walk(kid, here)
+            path.append(kid[0])
+            free = " " not in kid[0] or holds(kid, ("main",)) or not outside and (holds(kid, ("article",)) or _gross(kid) > half)
+            if free:
+                if " " in kid[0]:
+                    out.append(path.copy())
+                walk(kid)
+            path.pop()
 
-    walk(root, [])
+    walk(root)
     return out
 
 
-def weighed(node: list, free: list[list[str]], path: tuple[str, ...] = ()) -> list:
-    """The pattern with released elements as ordinary ones, and text counted anew."""
+def weighed(node: list, free: list[list[str]]) -> list:
+    """The pattern with released elements as ordinary ones, and text counted anew; ``free`` has the paths from here on."""
     if node[0] == "#":
         return node
-    kids = [weighed(x, free, (*path, x[0])) for x in node[3]]
-    label = node[0].split(" ")[0] if list(path) in free else node[0]
+    kids = [weighed(x, [path[1:] for path in free if path and path[0] == x[0]]) for x in node[3]]
+    label = node[0].split(" ")[0] if [] in free else node[0]
     return [label, node[1], 0 if label.endswith("-") or " " in label else sum(x[2] for x in kids), kids]
 
 
@@ -268,7 +278,14 @@ def opened(page: Element, free: list[list[str]]) -> Element:
 
 
 def _gross(at: list) -> int:
-    return at[2] if at[0] == "#" else 0 if at[0].endswith("-") else sum(map(_gross, at[3]))
+    size, todo = 0, [at]
+    while todo:
+        node = todo.pop()
+        if node[0] == "#":
+            size += node[2]
+        elif not node[0].endswith("-"):
+            todo += node[3]
+    return size
 
 
 def _open_all(at: Element) -> None:
@@ -288,23 +305,36 @@ def main_paths(node: list) -> dict[str, list]:
     """Where the host's pages have their article: all paths of outermost ``article`` and of ``main`` outside marginal
     parts, most text first, and the path to the smallest element that holds all other text (links alone do not count)."""
 
-    def named(at: list, name: str, path: list[str], found: list) -> list:
+    path: list[str] = []
+    sizes: dict[int, int] = {}
+
+    def named(at: list, name: str, found: list) -> list:
         for kid in at[3]:
-            here = [*path, kid[0]]
+            path.append(kid[0])
             if kid[0] == name:
-                found.append((-kid[2], here))
+                found.append((-kid[2], path.copy()))
             elif not (kid[0].endswith("-") or " " in kid[0]):
-                named(kid, name, here, found)
+                named(kid, name, found)
+            path.pop()
         return found
 
     def plain(at: list) -> int:
-        return at[2] if at[0] == "#" else 0 if at[0] == "a" or at[0].endswith("-") or " " in at[0] else sum(map(plain, at[3]))
+        return sizes[id(at)]
+
+    def weigh(at: list) -> int:
+        size = at[2] if at[0] == "#" else 0
+        for kid in at[3]:
+            size += weigh(kid)
+        sizes[id(at)] = 0 if at[0] == "a" or at[0].endswith("-") or " " in at[0] else size
+        return sizes[id(at)]
+
+    weigh(node)
 
     ways: dict[str, list] = {name: [] for name in ("article", "main")}
     for name, paths in ways.items():
-        for _, path in sorted(named(node, name, [], [])):
-            if path not in paths:
-                paths.append(path)
+        for _, way in sorted(named(node, name, [])):
+            if way not in paths:
+                paths.append(way)
     rest, at, whole = [], node, plain(node)
     while whole and at[3]:
         best = max(at[3], key=plain)
@@ -324,8 +354,14 @@ def _at(page: Element, path: list[str]) -> list[Element]:
 
 def _chars(element: Element, links: bool = False) -> int:
     """Characters of text outside marginal parts, without those of links unless ``links``."""
-    kids = element.kids
-    return sum(len("".join(k.split())) if isinstance(k, str) else 0 if k.aside or k.name == "a" and not links else _chars(k, links) for k in kids)
+    size, todo = 0, [element]
+    while todo:
+        for kid in todo.pop().kids:
+            if isinstance(kid, str):
+                size += len("".join(kid.split()))
+            elif not kid.aside and (links or kid.name != "a"):
+                todo.append(kid)
+    return size
 
 
 def main_text(page: Element, ways: dict[str, list]) -> str:
@@ -374,20 +410,45 @@ def _titles(page: Element, found: list[Element]) -> list[Element]:
     return out
 
 
+def packed(node: list) -> str:
+    """A pattern as one flat list, parents before children: label, quantifier, characters, number of children."""
+    flat, todo = [], [node]
+    while todo:
+        at = todo.pop()
+        flat += [*at[:3], len(at[3])]
+        todo += reversed(at[3])
+    return json.dumps(flat)
+
+
+def unpacked(text: str) -> list:
+    flat, top = json.loads(text), []
+    waiting = [[top, 1]]  # lists of children, and how many are still to come
+    for i in range(0, len(flat), 4):
+        while not waiting[-1][1]:
+            waiting.pop()
+        waiting[-1][1] -= 1
+        kids: list = []
+        waiting[-1][0].append([*flat[i : i + 3], kids])
+        waiting.append([kids, flat[i + 3]])
+    return top[0]
+
+
 def _fold_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sys.setrecursionlimit(_NESTING)
     known: dict[str, list] = {}
     for frame in batches:
         for host, page in zip(frame["host"], frame["html"], strict=True):
             new = pattern(parse(page))
             known[host] = _both(known[host], new) if host in known else new
-    yield pd.DataFrame({"host": list(known), "wrapper": [json.dumps(x) for x in known.values()]}, dtype=object)
+    yield pd.DataFrame({"host": list(known), "wrapper": [packed(x) for x in known.values()]}, dtype=object)
 
 
 def _fold_rows(table: pa.Table) -> pa.Table:
+    sys.setrecursionlimit(_NESTING)
     known = None
     for text in sorted(table.column("wrapper").to_pylist()):
-        known = json.loads(text) if known is None else _both(known, json.loads(text))
-    return pa.table({"host": table.column("host").slice(0, 1), "wrapper": [json.dumps(known)]})
+        known = unpacked(text) if known is None else _both(known, unpacked(text))
+    return pa.table({"host": table.column("host").slice(0, 1), "wrapper": [packed(known)]})
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
@@ -397,10 +458,11 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     every = stage_table(first.groupBy("host").applyInArrow(lambda _, t: _fold_rows(t), "host string, wrapper string"), "wrappers")
 
     def paths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sys.setrecursionlimit(_NESTING)
         for frame in frames:
             found = []
             for text in frame["wrapper"]:
-                node = json.loads(text)
+                node = unpacked(text)
                 free = released(node)
                 found.append(json.dumps([free, main_paths(weighed(node, free))]))
             yield frame.assign(path=found)
@@ -414,13 +476,15 @@ def extract(pages: DataFrame) -> DataFrame:
     Pages of one host (the part after ``://``; without it, the empty host) share a wrapper. ``text`` has the blocks of
     the article with references decoded and white space made one space, joined by an empty line, without menus,
     headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments; ``n_chars`` counts code points.
-    A null or empty page gives the empty text; ids and rows may repeat; other columns are ignored.
+    A null or empty page gives the empty text; ids and rows may repeat; other columns are ignored. Elements may be nested
+    to any depth.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
     pages = pages.select("page_id", "url", "html", host.alias("host"))
     paths = infer_wrappers(pages.select("host", "html")).select("host", "path")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sys.setrecursionlimit(_NESTING)
         for frame in frames:
             texts = []
             for page, way in zip(frame["html"], frame["path"], strict=True):
