@@ -20,6 +20,8 @@ SHARDS = 4
 #: Passes over the sample, and updates that few rows get at least.
 EPOCHS, UPDATES = 3, 3_000
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 1.0
+#: Bytes of text whose features are computed at a time.
+_SLICE = 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Byte classes of a word's shape: lower, upper, digit, long code point, each other byte by itself.
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -53,6 +55,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     shape.data = _SHAPE[data]
     if len(data):
         shape.inside[1:] &= (shape.data[1:] != shape.data[:-1]) | ~words.inside[:-1]
+        shape.inside[words.start] = True  # a text's first word may touch the text before it
     marks = np.add.reduceat(np.where(shape.inside, mix(np.arange(256, dtype=np.uint64))[shape.data], np.uint64(0)), words.start) if n else h
     pair = np.flatnonzero(text[1:] == text[:-1]) if n else np.zeros(0, np.int64)
     equal = (h[pair] == h[pair + 1]).astype(np.uint64)
@@ -74,8 +77,14 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
 def train(column: pa.Array, labels: np.ndarray) -> np.ndarray:
     """Weights after one update per example and pass."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    row, feature, value = features(*buffers(column))
-    ends = np.searchsorted(row, np.arange(len(labels) + 1))
+    # what is kept of a feature takes 12 bytes, what computes it ten times that
+    sizes, parts, values = [np.zeros(1, np.int64)], [], []
+    for batch in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text", _SLICE):
+        row, feature, value = features(*buffers(batch.column("text")))
+        sizes.append(np.bincount(row, minlength=batch.num_rows))
+        parts.append(feature.astype(np.int32))
+        values.append(value)
+    ends, feature, value = np.cumsum(np.concatenate(sizes)), np.concatenate(parts), np.concatenate(values)
     for _ in range(max(EPOCHS, -(-UPDATES // len(labels)))):
         for i, label in enumerate(labels):
             f, x = feature[ends[i] : ends[i + 1]], value[ends[i] : ends[i + 1]]
@@ -114,7 +123,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> n
 def _score(weights, schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
-        for batch in slices(batches, "text", 1 << 19):
+        for batch in slices(batches, "text", _SLICE):
             row, feature, value = features(*buffers(batch.column("text")))
             score = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * w[feature], batch.num_rows), -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], schema=schema)
