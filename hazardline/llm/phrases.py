@@ -26,8 +26,8 @@ LONGEST = 4
 SHARDS = 2
 #: Cells of the table of phrases at the threshold: 2 bytes each, 8 MB for each task.
 TABLE_BITS = 22
-#: Words that a task counts at a time.
-_SLICE = 1 << 20
+#: Words that a task counts at a time: some 200 bytes each.
+_SLICE = 1 << 18
 #: Phrases that a task remembers to have spelt (8 bytes each); beyond them it may spell one again.
 _TOLD = 1 << 20
 _NEVER = 255
