@@ -1,4 +1,5 @@
 import random
+from bisect import bisect, insort
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +97,41 @@ def test_bucketed_concordance_equals_all_pairs(spark, seed, times, risks):
     assert whole["numerator"] == pytest.approx(num) and whole["denominator"] == pytest.approx(den)
 
 
+def test_concordance_writes_each_row_once_at_any_number_of_ranges(spark, monkeypatch):
+    written = []
+
+    def counted(cut):
+        def run(df, *args):
+            out = cut(df, *args)
+            written.append(out.count())
+            return out
+
+        return run
+
+    monkeypatch.setattr(S, "stage_table", counted(S.stage_table))
+    monkeypatch.setattr(O, "cut_lineage", counted(O.cut_lineage))
+    n = 120_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("time"), (F.col("id") % 2).alias("event"), (F.col("id") * 104729 % n).alias("risk"))
+    row = S.harrell_cindex(df, "time", "event", "risk", rows_per_strip=4000).first()
+    assert sum(written) < 2 * n
+    order = sorted(df.collect())
+    seen, good, pairs = [], 0, 0
+    for i, r in enumerate(reversed(order)):
+        if r["event"]:
+            good, pairs = good + bisect(seen, r["risk"]), pairs + i
+        insort(seen, r["risk"])
+    assert (row["numerator"], row["denominator"]) == (good, pairs)
+
+
+@pytest.mark.parametrize("top", [float("inf"), 1e300, 0.0])
+def test_concordance_of_odd_scores(spark, top):
+    rnd = random.Random(4)
+    rows = [(0, rnd.randrange(90) / 7, int(rnd.random() < 0.5), rnd.choice([-0.0, 0.0, 1.0, -1.0, top, -top]), rnd.choice([0.0, 1.0])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "g int, time double, event int, risk double, w double")
+    row = S.concordance(df, "time", "event", "risk", "w", rows_per_strip=10).first()
+    assert (row["numerator"], row["denominator"]) == pytest.approx(brute(rows))
+
+
 def test_bucketed_curves_equal_plain_ones(spark):
     rnd = random.Random(9)
     rows = [(str(i), rnd.randrange(150) / 10, int(rnd.random() < 0.4)) for i in range(600)]
