@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,9 +91,21 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(values, np.int64).view(np.uint64), salt
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with at most ``_SLICE`` words, or one row if that has more: Arrow's are of 10,000 texts."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column("words")), 0), np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + _SLICE, "right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     held, size = [], 0
-    for batch in batches:
+    for batch in _cut(batches):
         held.append(_flat(batch))
         size += len(held[-1][0])
         if size >= _SLICE:

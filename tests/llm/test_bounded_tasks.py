@@ -46,3 +46,16 @@ def test_phrases_are_counted_in_slices():
     total, peak = peak_of(lambda: sum(int(np.asarray(b.column("n")).sum()) for b in run(parts)))
     assert total == 3000 * (499 + 498 + 497 + 496)
     assert peak < 100 << 20
+
+
+def test_phrases_of_a_large_batch_are_counted_in_slices():
+    rng = np.random.default_rng(2)
+    words = rng.integers(1, 1 << 40, 3_000_000)
+    words[::500] = 0  # each text begins with the mark of a piece
+    lists = pa.ListArray.from_arrays(np.arange(0, 3_000_001, 500, dtype=np.int32), pa.array(words))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(6000, 7)), lists], ["salt", "words"])
+    table = np.zeros((2, 1 << 10), np.uint8)
+    table[1] = 200
+    total, peak = peak_of(lambda: sum(int(np.asarray(b.column("n")).sum()) for b in phrases._count(Held(table), 1, 2, 10)(iter([batch]))))
+    assert total == 6000 * (499 + 498 + 497 + 496)
+    assert peak < 100 << 20
