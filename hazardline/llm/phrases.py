@@ -29,7 +29,7 @@ SHARDS = 2
 TABLE_BITS = 22
 #: Words that a task counts at a time: some 200 bytes each.
 _SLICE = 1 << 18
-#: Phrases that a task remembers to have spelt (8 bytes each); beyond them it may spell one again.
+#: Cells for the phrases that a task has spelt (8 bytes each); one that was pushed out may be spelt again.
 _TOLD = 1 << 20
 _NEVER = 255
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -154,19 +154,21 @@ def count_phrases(words: DataFrame, threshold: int, shards: int, bits: int) -> D
         shard = step % shards
         counts = words.where(F.col("shard") == shard).select("salt", "words").mapInArrow(_count(sent, step, shards, bits), _COUNTS)
         nil = F.lit(0).cast("long")
-        now = counts.select("length", "a", "b", nil.alias("n"), "n", nil.alias("seen"), F.lit(None).cast("int").alias("at")).toDF("length", "a", "b", "n", "add", "seen", "at")
+        now = counts.select("length", "a", "b", nil.alias("n"), "n", nil.alias("seen"), F.lit(None).cast("int").alias("at"), F.lit(step).alias("born"))
+        now = now.toDF("length", "a", "b", "n", "add", "seen", "at", "born")
         both = now if known is None else now.unionByName(known.withColumn("add", nil))
-        both = both.groupBy("length", "a", "b").agg(F.sum("n").alias("n"), F.sum("add").alias("add"), F.max("seen").alias("seen"), F.max("at").alias("at"))
+        both = both.groupBy("length", "a", "b").agg(F.sum("n").alias("n"), F.sum("add").alias("add"), F.max("seen").alias("seen"), F.max("at").alias("at"), F.min("born").alias("born"))
         mark = F.lit(1 << shard).cast("long")
         fresh = F.col("seen").bitwiseAND(mark) == 0
         total = F.col("n") + F.when(fresh, F.col("add")).otherwise(0)
         merged = both.select(
             "length", "a", "b", total.alias("n"), F.when(F.col("add") > 0, F.col("seen").bitwiseOR(mark)).otherwise(F.col("seen")).alias("seen"),
-            F.coalesce("at", F.when(total >= threshold, step)).alias("at"),
+            F.coalesce("at", F.when(total >= threshold, step)).alias("at"), "born",
         )
-        if step >= shards - 1:
-            # words are counted to the end by now, so the rare ones are done with
-            merged = merged.where((F.col("length") > 1) | (F.col("n") >= threshold))
+        # a phrase was counted in every shard one cycle after it was first seen, so the rare ones are done with then; those
+        # that are counted again for the cell they share start from nothing and stay below their whole count
+        young = (F.col("born") > step + 1 - shards) & ((F.col("length") > 1) | (step < shards - 1))  # words are counted in the first cycle only
+        merged = merged.where(young | (F.col("n") >= threshold))
         merged = stage_table(merged, "counts")
         if known is not None:
             drop_staged(known)
@@ -183,30 +185,54 @@ def count_phrases(words: DataFrame, threshold: int, shards: int, bits: int) -> D
     return known.select("length", "a", "b", "n")
 
 
+def _marks(a: np.ndarray, b: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Cells of a phrase in the tables that say which phrases are wanted, one in each."""
+    low, up = np.uint64((1 << bits) - 1), np.uint64(64 - bits)
+    return [(x >> up if high else x & low).astype(np.int64) for x in (a, b) for high in (True, False)]
+
+
+def _spelt(words: Words, first: np.ndarray, length: int) -> pa.Array:
+    """The ``length`` words from each of ``first`` on, joined by spaces."""
+    at = (first[:, None] + np.arange(length)).ravel()
+    size = words.end[at] - words.start[at]
+    ends = np.cumsum(size + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
+    place = np.arange(int(size.sum())) + np.repeat(np.arange(len(at)), size)  # a space after each word before it
+    out[place] = words.data[place + np.repeat(words.start[at] - (ends - size - 1), size)]
+    # a phrase ends before the space behind its last word, which is taken out again
+    keep = np.ones(len(out), bool)
+    keep[ends[length - 1 :: length] - 1] = False
+    offsets = np.append(0, ends[length - 1 :: length]) - np.arange(len(first) + 1)
+    return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out[keep]))
+
+
 def _spell(wanted, bits: int, schema: pa.Schema) -> Callable:
-    """The phrases whose cell is wanted, as text, most of them once a task."""
+    """The phrases whose cells are wanted, as text, most of them once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = np.zeros(0, np.uint64)
+        told = np.zeros(_TOLD, np.uint64)  # the last phrase spelt in each cell
         for batch in slices(batches, "text"):
             values, offsets, words = tokens(batch.column("text"))
-            text = np.searchsorted(offsets[1:], np.arange(len(values)), "right")
+            text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             salt = np.asarray(batch.column("salt"), np.int64).view(np.uint64)[text]
             word = np.cumsum(values != 0) - 1
             for length, value, there in chains(values, salt):
                 cell = (value >> np.uint64(64 - bits)).astype(np.int64)
-                at = np.flatnonzero(there & wanted.value[cell]) if length > 1 else np.zeros(0, np.int64)
+                at = np.flatnonzero(there & wanted.value[0][cell]) if length > 1 else np.zeros(0, np.int64)
                 key, one = np.unique(value[at], return_index=True)
-                new = ~np.isin(key, told)
-                at = at[one[new]]
+                at = at[one]
+                other = second_hash(values, salt, at, length)
+                seen = (key % np.uint64(_TOLD)).astype(np.int64)
+                new = told[seen] != key
+                for table, cells in zip(wanted.value, _marks(key, other, bits), strict=True):
+                    new &= table[cells]
+                at, key, other = at[new], key[new], other[new]
                 if not len(at):
                     continue
-                if len(told) < _TOLD:
-                    told = np.concatenate([told, key[new]])
-                spelt = [" ".join(words.data[words.start[w + j] : words.end[w + j]].tobytes().decode() for j in range(length)) for w in word[at]]
+                told[seen[new]] = key
                 columns = [
-                    batch.column("lang").take(pa.array(text[at])), pa.array(np.full(len(at), length)), long_array(value[at]),
-                    long_array(second_hash(values, salt, at, length)), pa.array(spelt, pa.string()),
+                    batch.column("lang").take(pa.array(text[at])), pa.array(np.full(len(at), length)), long_array(key),
+                    long_array(other), _spelt(words, word[at], length),
                 ]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -261,9 +287,11 @@ def collocations(
     counts = count_phrases(words, threshold, shards, table_bits)
     often = stage_table(counts.where(F.col("n") >= threshold), "often")
     drop_staged(words, counts)
-    cell = F.shiftrightunsigned("a", 64 - table_bits).alias("cell")
-    wanted = np.zeros(1 << table_bits, bool)
-    wanted[np.asarray(often.where("length > 1").select(cell).distinct().toArrow().column("cell"), np.int64)] = True
+    # a table for each of four hashes: a rare phrase is spelt only if all its four cells are taken
+    marks = [f(c) for c in ("a", "b") for f in (lambda c: F.shiftrightunsigned(c, 64 - table_bits), lambda c: F.col(c).bitwiseAND((1 << table_bits) - 1))]
+    wanted = np.zeros((4, 1 << table_bits), bool)
+    for table, mark in zip(wanted, marks, strict=True):
+        table[np.asarray(often.where("length > 1").select(mark.alias("cell")).distinct().toArrow().column("cell"), np.int64)] = True
     spelt = "lang string, length int, a long, b long, phrase string"
     found = docs.mapInArrow(_spell(spark.sparkContext.broadcast(wanted), table_bits, _arrow(spark, spelt)), spelt)
     key = ["length", "a", "b"]

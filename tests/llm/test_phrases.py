@@ -69,3 +69,24 @@ def test_places_of_words():
     values, offsets, words = P.tokens(pa.array(["a b. c", None, "", "...", "D d"]))
     assert [int(v == 0) for v in values] == [1, 0, 0, 1, 0, 1, 0, 0]
     assert offsets.tolist() == [0, 5, 5, 5, 5, 8] and values[6] == values[7] and len(words) == 5
+
+
+def test_only_phrases_with_all_their_cells_are_spelt():
+    texts = pa.array(["new  york city. of the", "x of\tthe NEW york", None, "of the"])
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 4), texts, pa.array([7] * 4)], ["lang", "text", "salt"])
+    schema = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("phrase", pa.string())])
+
+    class Sent:
+        value = P.np.ones((4, 8), bool)
+
+    every = [r for b in P._spell(Sent, 3, schema)([batch]) for r in b.to_pylist()]
+    assert sorted(r["phrase"] for r in every) == sorted(
+        ["new york", "york city", "new york city", "of the", "x of", "the new", "x of the", "of the new", "the new york", "x of the new", "of the new york"]
+    )
+    wanted = next(r for r in every if r["phrase"] == "new york")
+    bits, a, b = 10, *(P.np.array([wanted[c]]).view(P.np.uint64) for c in "ab")
+    Sent.value = P.np.zeros((4, 1 << bits), bool)
+    Sent.value[0] = True  # the cells of the first table alone say nothing here
+    for table, cells in zip(Sent.value[1:], P._marks(a, b, bits)[1:], strict=True):
+        table[cells] = True
+    assert [r["phrase"] for b in P._spell(Sent, bits, schema)([batch]) for r in b.to_pylist()] == ["new york"]
