@@ -1,17 +1,20 @@
 """Phrase collocation mining by dynamic itemset counting over cyclic shard scans.
 
-The words of every text are written once as hashes, dealt into shards. Each step scans one shard and counts phrases of
-all lengths together: single words during the first cycle, a longer phrase from the step after both its subphrases (all
-words but the last, all but the first) reached the threshold, for one full cycle. Which phrases those are is told to the
-tasks by a table of fixed size, indexed by phrase hash, with the first and the last step at which a phrase of that cell
-reached the threshold. Phrases that share a cell can only be counted too early or too often: a shard that was already
-counted for a phrase is not added again, and a phrase with a rare subphrase is rare itself. So the counts of all phrases
-at the threshold are exact at any size of the table.
+The words of every text are written once as the bytes of their hashes, dealt into shards. Each step scans one shard and
+counts phrases of all lengths together: single words during the first cycle, a longer phrase from the step after both its
+subphrases (all words but the last, all but the first) reached the threshold, for one full cycle. Which phrases those are
+is told to the tasks by two tables of fixed size, indexed by different bits of the phrase hash, with the first and the last
+step at which a phrase of that cell reached the threshold; both must agree. Phrases that share both cells can only be
+counted too early or too often: a shard that was already counted for a phrase is not added again, and a phrase with a rare
+subphrase is rare itself. So the counts of all phrases at the threshold are exact at any size of the tables.
+
+With its count, a phrase carries the place (a hash from 0 to 253) of one text that holds it, and only texts of that place
+spell it out for the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +28,16 @@ from hazardline.session import drop_staged, stage_table
 
 LONGEST = 4
 SHARDS = 2
-#: Cells of the table of phrases at the threshold: 2 bytes each, 8 MB for each task.
+#: Cells of each table of phrases at the threshold: 4 bytes for both, 16 MB for each task.
 TABLE_BITS = 22
 #: Words that a task counts at a time: some 200 bytes each.
 _SLICE = 1 << 18
 #: Cells for the phrases that a task has spelt (8 bytes each); one that was pushed out may be spelt again.
 _TOLD = 1 << 20
 _NEVER = 255
+#: Texts are dealt to this many places; in a table of wanted phrases, 0 is none, 1 any place and the others a place plus 2.
+_PLACES = 254
+_ANY = 1
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -57,8 +63,8 @@ def _read(schema: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             values, offsets, words = tokens(batch.column("text"))
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), long_array(values))
-            columns = [batch.column("lang"), batch.column("salt"), batch.column("shard"), pa.array(np.diff(words.first)), lists]
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(offsets.astype(np.int64) * 8), pa.py_buffer(values)])
+            columns = [batch.column("lang"), batch.column("salt"), batch.column("shard"), pa.array(np.diff(words.first)), packed]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
@@ -85,16 +91,34 @@ def second_hash(words: np.ndarray, salt: np.ndarray, start: np.ndarray, length:
     return value
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    row, values = list_parts(batch.column("words"))
+def places(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """The place of each text, from the hashes of its words; equal texts have the same."""
+    sums = np.append(np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64))
+    ends = np.searchsorted(row, np.arange(rows + 1))
+    return (mix(sums[ends[1:]] - sums[ends[:-1]]) % np.uint64(_PLACES)).astype(np.uint8)
+
+
+def _hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each hash, hashes) of a column of lists of hashes, or of their bytes."""
+    if pa.types.is_list(column.type):
+        row, values = list_parts(column)
+        return row, np.asarray(values, np.int64).view(np.uint64)
+    data, offsets = buffers(column)
+    return np.repeat(np.arange(len(column)), np.diff(offsets) // 8), data.view(np.uint64)
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row, values = _hashes(batch.column("words"))
     salt = np.asarray(batch.column("salt"), np.int64).view(np.uint64)[row]
-    return np.asarray(values, np.int64).view(np.uint64), salt
+    return values, salt, places(values, row, batch.num_rows)[row]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with at most ``_SLICE`` words, or one row if that has more: Arrow's are of 10,000 texts."""
     for batch in batches:
-        ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column("words")), 0), np.int64))
+        words = batch.column("words")
+        size = pc.list_value_length(words) if pa.types.is_list(words.type) else pc.divide(pc.binary_length(words), 8)
+        ends = np.cumsum(np.asarray(pc.fill_null(size, 0), np.int64))
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
@@ -103,7 +127,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = end
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     held, size = [], 0
     for batch in _cut(batches):
         held.append(_flat(batch))
@@ -115,80 +139,98 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def _count(table, step: int, shards: int, bits: int) -> Callable:
+def _cell(value: np.ndarray, bits: int, high: bool) -> np.ndarray:
+    return (value >> np.uint64(64 - bits) if high else value & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _count(table, step: int, shards: int, bits: int, lengths: Sequence[int] = range(1, LONGEST + 1)) -> Callable:
+    """Counts of the phrases of ``lengths`` that are due. Tables: first and last step by high bits, the same by low bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, last = table.value
-        for words, salt in _chunks(batches):
+        steps = [table.value[i].astype(np.uint16) | table.value[i + 1].astype(np.uint16) << 8 for i in range(0, len(table.value), 2)]
+        for words, salt, place in _chunks(batches):
             for length, value, there in chains(words, salt):
-                if length == 1:
-                    wanted = np.flatnonzero(there) if step < shards else np.zeros(0, np.int64)
-                else:
-                    here = len(value)
-                    since = np.maximum(low[:here], low[1 : here + 1])
-                    until = np.maximum(high[:here], high[1 : here + 1])
+                if length > max(lengths):
+                    break
+                wanted = np.flatnonzero(there) if length in lengths else np.zeros(0, np.int64)
+                for i, known in enumerate(steps if length > 1 and len(wanted) else []):
+                    known = known[_cell(before, bits, i == 0)]
+                    low, high = known & 255, known >> 8
                     # counted from the step after the later of the two subphrases, for one cycle
-                    wanted = np.flatnonzero(there & (since < step) & (step <= until + shards))
-                cell = (value >> np.uint64(64 - bits)).astype(np.int64)
-                low, high = first[cell].astype(np.int64), last[cell].astype(np.int64)
+                    due = (np.maximum(low[:-1], low[1:]) < step) & (step <= np.maximum(high[:-1], high[1:]) + shards)
+                    wanted = wanted[due[wanted]]
+                before = value
                 key, at, times = np.unique(value[wanted], return_index=True, return_counts=True)
                 if len(key):
-                    other = second_hash(words, salt, wanted[at], length)
-                    yield pa.RecordBatch.from_pydict({"length": np.full(len(key), length, np.int32), "a": long_array(key), "b": long_array(other), "n": times})
+                    at = wanted[at]
+                    other = second_hash(words, salt, at, length)
+                    columns = {"length": np.full(len(key), length, np.int32), "a": long_array(key), "b": long_array(other), "n": times}
+                    yield pa.RecordBatch.from_pydict(columns | {"place": place[at].astype(np.int32)})
 
     return run
 
 
-_COUNTS = "length int, a long, b long, n long"
+_COUNTS = "length int, a long, b long, n long, place int"
 
 
 def count_phrases(words: DataFrame, threshold: int, shards: int, bits: int) -> DataFrame:
-    """(length, a, b, n) of every phrase that was counted; exact for those with n at the threshold."""
+    """(length, a, b, n, place) of every phrase that was counted; exact for those with n at the threshold."""
     spark = words.sparkSession
-    table = np.full((2, 1 << bits), _NEVER, np.uint8)
-    table[1] = 0
-    known, step, newest = None, 0, 0
-    while step < shards or step <= newest + shards:
+    table = np.full((4, 1 << bits), _NEVER, np.uint8)
+    table[1::2] = 0
+    known, step, newest = None, 0, {}
+    while step < shards or step <= max(newest.values(), default=-1) + shards:
         if step >= _NEVER:
             raise ValueError("too many shards")
+        # a phrase of this length may be due only within a cycle of the last step at which one a word shorter reached the threshold
+        lengths = [1] if step < shards else []
+        lengths += [length + 1 for length, last in sorted(newest.items()) if step <= last + shards]
         sent = spark.sparkContext.broadcast(table.copy())
         shard = step % shards
-        counts = words.where(F.col("shard") == shard).select("salt", "words").mapInArrow(_count(sent, step, shards, bits), _COUNTS)
+        counts = words.where(F.col("shard") == shard).select("salt", "words").mapInArrow(_count(sent, step, shards, bits, lengths), _COUNTS)
         nil = F.lit(0).cast("long")
-        now = counts.select("length", "a", "b", nil.alias("n"), "n", nil.alias("seen"), F.lit(None).cast("int").alias("at"), F.lit(step).alias("born"))
-        now = now.toDF("length", "a", "b", "n", "add", "seen", "at", "born")
+        # state: one more than the step at which the threshold was reached, the last step that counted the phrase, a place; the largest holds
+        now = counts.select("length", "a", "b", nil.alias("n"), F.col("n").alias("add"), nil.alias("seen"), (F.lit(step << 8) + F.col("place")).alias("state"))
         both = now if known is None else now.unionByName(known.withColumn("add", nil))
-        both = both.groupBy("length", "a", "b").agg(F.sum("n").alias("n"), F.sum("add").alias("add"), F.max("seen").alias("seen"), F.max("at").alias("at"), F.min("born").alias("born"))
+        both = both.groupBy("length", "a", "b").agg(F.sum("n").alias("n"), F.sum("add").alias("add"), F.max("seen").alias("seen"), F.max("state").alias("state"))
         mark = F.lit(1 << shard).cast("long")
         fresh = F.col("seen").bitwiseAND(mark) == 0
         total = F.col("n") + F.when(fresh, F.col("add")).otherwise(0)
         merged = both.select(
             "length", "a", "b", total.alias("n"), F.when(F.col("add") > 0, F.col("seen").bitwiseOR(mark)).otherwise(F.col("seen")).alias("seen"),
-            F.coalesce("at", F.when(total >= threshold, step)).alias("at"), "born",
+            F.when((F.col("state") < 1 << 16) & (total >= threshold), F.col("state") + ((step + 1) << 16)).otherwise(F.col("state")).alias("state"),
         )
-        # a phrase was counted in every shard one cycle after it was first seen, so the rare ones are done with then; those
-        # that are counted again for the cell they share start from nothing and stay below their whole count
-        young = (F.col("born") > step + 1 - shards) & ((F.col("length") > 1) | (step < shards - 1))  # words are counted in the first cycle only
-        merged = merged.where(young | (F.col("n") >= threshold))
-        merged = stage_table(merged, "counts")
+        # a rare phrase is done with if every shard was counted, or if none of a cycle's last shards had it: a cycle that is due
+        # then is over, or has counted nothing yet. Words are counted in the first cycle only
+        last = F.shiftright("state", 8).bitwiseAND(255)
+        open_ = (F.col("seen") != (1 << shards) - 1) & (last > step + 1 - shards) & ((F.col("length") > 1) | (step < shards - 1))
+        merged = merged.where(open_ | (F.col("n") >= threshold))
+        merged = stage_table(merged, "counts", once=True)
         if known is not None:
             drop_staged(known)
         known = merged
-        reached = known.where((F.col("at") == step) & (F.col("length") < LONGEST))
-        cell = F.shiftrightunsigned("a", 64 - bits).alias("cell")
-        cells = np.asarray(reached.select(cell).distinct().toArrow().column("cell"), np.int64)
-        if len(cells):
-            newest = step
-            table[0, cells] = np.minimum(table[0, cells], step)
-            table[1, cells] = step
+        reached = known.where((F.shiftright("state", 16) == step + 1) & (F.col("length") < LONGEST))
+        high, low = F.shiftrightunsigned("a", 64 - bits), F.col("a").bitwiseAND((1 << bits) - 1)
+        cells = reached.select(F.explode(F.array(high.cast("int"), low.cast("int") + (1 << bits))).alias("cell")).distinct()
+        cells = np.asarray(cells.toArrow().column("cell"), np.int64)
+        newest |= {row["length"]: step for row in reached.select("length").distinct().collect()}
+        for i, cell in ((0, cells[cells < 1 << bits]), (2, cells[cells >= 1 << bits] - (1 << bits))):
+            table[i, cell] = np.minimum(table[i, cell], step)
+            table[i + 1, cell] = step
         sent.unpersist()
         step += 1
-    return known.select("length", "a", "b", "n")
+    return known.select("length", "a", "b", "n", F.col("state").bitwiseAND(255).alias("place"))
 
 
 def _marks(a: np.ndarray, b: np.ndarray, bits: int) -> list[np.ndarray]:
     """Cells of a phrase in the tables that say which phrases are wanted, one in each."""
-    low, up = np.uint64((1 << bits) - 1), np.uint64(64 - bits)
-    return [(x >> up if high else x & low).astype(np.int64) for x in (a, b) for high in (True, False)]
+    return [_cell(x, bits, high) for x in (a, b) for high in (True, False)]
+
+
+def _here(table: np.ndarray, cell: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Whether a text with this mark has to spell the phrase of each cell."""
+    found = table[cell]
+    return (found == mark) | (found == _ANY)
 
 
 def _spelt(words: Words, first: np.ndarray, length: int) -> pa.Array:
@@ -207,7 +249,7 @@ def _spelt(words: Words, first: np.ndarray, length: int) -> pa.Array:
 
 
 def _spell(wanted, bits: int, schema: pa.Schema) -> Callable:
-    """The phrases whose cells are wanted, as text, most of them once a task."""
+    """The phrases whose cells are wanted at the place of their text, as text, most of them once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = np.zeros(_TOLD, np.uint64)  # the last phrase spelt in each cell
@@ -216,16 +258,23 @@ def _spell(wanted, bits: int, schema: pa.Schema) -> Callable:
             text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             salt = np.asarray(batch.column("salt"), np.int64).view(np.uint64)[text]
             word = np.cumsum(values != 0) - 1
+            mark = (places(values, text, batch.num_rows) + np.uint8(2))[text]
             for length, value, there in chains(values, salt):
-                cell = (value >> np.uint64(64 - bits)).astype(np.int64)
-                at = np.flatnonzero(there & wanted.value[0][cell]) if length > 1 else np.zeros(0, np.int64)
-                key, one = np.unique(value[at], return_index=True)
-                at = at[one]
+                if length == 1:
+                    continue
+                at = np.flatnonzero(there)
+                at = at[_here(wanted.value[0], _cell(value[at], bits, True), mark[at])]
+                at = at[_here(wanted.value[1], _cell(value[at], bits, False), mark[at])]
                 other = second_hash(values, salt, at, length)
+                # another text of the slice may be the one to spell a phrase, so all tables are asked before repeats go
+                right = np.ones(len(at), bool)
+                for table, cells in zip(wanted.value[2:], _marks(value[at], other, bits)[2:], strict=True):
+                    right &= _here(table, cells, mark[at])
+                at, other = at[right], other[right]
+                key, one = np.unique(value[at], return_index=True)
+                at, other = at[one], other[one]
                 seen = (key % np.uint64(_TOLD)).astype(np.int64)
                 new = told[seen] != key
-                for table, cells in zip(wanted.value, _marks(key, other, bits), strict=True):
-                    new &= table[cells]
                 at, key, other = at[new], key[new], other[new]
                 if not len(at):
                     continue
@@ -280,26 +329,29 @@ def collocations(
     """
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text").withColumn("salt", F.xxhash64("lang"))
-    schema = "lang string, salt long, shard int, n long, words array<long>"
+    schema = "lang string, salt long, shard int, n long, words binary"
     dealt = docs.withColumn("shard", F.pmod(F.xxhash64("salt", "text"), F.lit(shards)).cast("int"))
     words = stage_table(dealt.mapInArrow(_read(_arrow(spark, schema)), schema), "words", by="shard")
     sizes = stage_table(words.groupBy("lang").agg(F.sum("n").alias("words")), "sizes")
     counts = count_phrases(words, threshold, shards, table_bits)
-    often = stage_table(counts.where(F.col("n") >= threshold), "often")
+    placed = stage_table(counts.where(F.col("n") >= threshold), "often")
     drop_staged(words, counts)
-    # a table for each of four hashes: a rare phrase is spelt only if all its four cells are taken
+    often = placed.drop("place")
+    # a table for each of four hashes: a rare phrase is spelt only if all its four cells are taken, any by the place of its text
     marks = [f(c) for c in ("a", "b") for f in (lambda c: F.shiftrightunsigned(c, 64 - table_bits), lambda c: F.col(c).bitwiseAND((1 << table_bits) - 1))]
-    wanted = np.zeros((4, 1 << table_bits), bool)
+    wanted = np.zeros((4, 1 << table_bits), np.uint8)
     for table, mark in zip(wanted, marks, strict=True):
-        table[np.asarray(often.where("length > 1").select(mark.alias("cell")).distinct().toArrow().column("cell"), np.int64)] = True
+        cells = placed.where("length > 1").groupBy(mark.cast("int").alias("cell")).agg(F.min("place").alias("low"), F.max("place").alias("high"))
+        cells = cells.select("cell", F.when(F.col("low") == F.col("high"), F.col("low") + 2).otherwise(_ANY).cast("short").alias("mark")).toArrow()
+        table[np.asarray(cells.column("cell"), np.int64)] = np.asarray(cells.column("mark"))
     spelt = "lang string, length int, a long, b long, phrase string"
     found = docs.mapInArrow(_spell(spark.sparkContext.broadcast(wanted), table_bits, _arrow(spark, spelt)), spelt)
     key = ["length", "a", "b"]
     found = found.groupBy(*key).agg(F.any_value("lang").alias("lang"), F.any_value("phrase").alias("phrase")).join(often.withColumnRenamed("n", "f"), key)
-    found = stage_table(found.withColumn("salt", F.xxhash64("lang")), "candidates")
+    found = stage_table(found.withColumn("salt", F.xxhash64("lang")), "candidates", once=True)
     part = "of_length int, of_a long, of_b long, f long, start int, length int, a long, b long"
     parts = found.mapInArrow(_parts(_arrow(spark, part)), part)
-    parts = stage_table(parts.join(often.withColumnRenamed("n", "g"), key), "parts")
+    parts = stage_table(parts.join(often.withColumnRenamed("n", "g"), key), "parts", once=True)
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     inside = parts.where((F.col("length") > 1) & (wide("f") * 100 >= wide("g") * covered)).select(*key).distinct()
     of = ["of_length", "of_a", "of_b"]

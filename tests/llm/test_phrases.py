@@ -90,3 +90,54 @@ def test_only_phrases_with_all_their_cells_are_spelt():
     for table, cells in zip(Sent.value[1:], P._marks(a, b, bits)[1:], strict=True):
         table[cells] = True
     assert [r["phrase"] for b in P._spell(Sent, bits, schema)([batch]) for r in b.to_pylist()] == ["new york"]
+
+
+def test_a_phrase_is_spelt_only_by_texts_of_its_place():
+    texts = pa.array([f"x{i} of the y{i}" for i in range(300)])
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 300), texts, pa.array([7] * 300)], ["lang", "text", "salt"])
+    schema = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("phrase", pa.string())])
+    values, offsets, _ = P.tokens(texts)
+    place = P.places(values, P.np.repeat(P.np.arange(300), P.np.diff(offsets)), 300)
+
+    class Sent:
+        value = P.np.zeros((4, 1 << 20), P.np.uint8)
+
+    Sent.value[:] = P._ANY
+    every = [r for b in P._spell(Sent, 20, schema)([batch]) for r in b.to_pylist()]
+    wanted = next(r for r in every if r["phrase"] == "of the")
+    a, b = (P.np.array([wanted[c]]).view(P.np.uint64) for c in "ab")
+    Sent.value[:] = 0
+    for table, cells in zip(Sent.value, P._marks(a, b, 20), strict=True):
+        table[cells] = place[123] + 2
+    found = [[r["phrase"] for part in P._spell(Sent, 20, schema)([batch.slice(i, 1)]) for r in part.to_pylist()] for i in range(300)]
+    assert found == [["of the"] if p == place[123] else [] for p in place]  # before, every text spelt it
+    assert [r["phrase"] for part in P._spell(Sent, 20, schema)([batch]) for r in part.to_pylist()] == ["of the"]
+
+
+def test_phrases_that_share_one_cell_are_not_counted():
+    words = P.np.array([0, 11, 12, 13], P.np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([words.tobytes()])], ["salt", "words"])
+    value = next(P.chains(words, P.np.full(4, 7, P.np.uint64)))[1]
+    table = P.np.full((4, 1 << 12), P._NEVER, P.np.uint8)
+    table[1::2] = 0
+    for row, high in ((0, True), (2, False)):
+        table[row : row + 2, P._cell(value, 12, high)] = 1
+
+    class Sent:
+        pass
+
+    def counted(step, lengths=range(2, 5)):
+        return [n for b in P._count(Sent, step, 2, 12, lengths)([batch]) for n in b.column("length").to_pylist()]
+
+    Sent.value = table
+    assert counted(2) == [2, 2] and counted(3) == [2, 2] and counted(4) == [] and counted(2, [3]) == []
+    Sent.value = table.copy()
+    Sent.value[2:, P._cell(value[3:], 12, False)] = [[P._NEVER], [0]]
+    assert counted(2) == [2]  # the cell by high bits alone was enough before
+
+
+@pytest.mark.parametrize("bits", [2])
+def test_shared_cells_over_many_shards(spark, bits):
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    assert sorted(tuple(r) for r in P.collocations(df, 12, 300, shards=5, table_bits=bits).collect()) == expected(rows, 12, 300)
