@@ -148,3 +148,14 @@ def test_relational_helpers(spark, obs):
     assert R.drop_if_present(obs, ["VAF", "nothing"]).columns == ["ID", "GENE", "CHR"]
     left = A.align_with_fill(spark.createDataFrame([("P1",), ("P9",)], "ID string"), obs.groupBy("ID").count(), "ID")
     assert {r["ID"]: r["count"] for r in left.collect()} == {"P1": 3, "P9": 0}
+
+
+def test_standardizer_of_many_columns_ignores_missing_values(spark):
+    names = [f"c {i}" for i in range(70)]
+    rows = [tuple(None if (r + i) % 5 == 0 else float(r * i) for i in range(70)) for r in range(40)]
+    stats = P.Standardizer.fit(spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in names)), names).stats
+    assert list(stats) == names
+    for i, name in enumerate(names):
+        seen = [r[i] for r in rows if r[i] is not None]
+        mean = sum(seen) / len(seen)
+        assert stats[name] == pytest.approx((mean, (sum((v - mean) ** 2 for v in seen) / len(seen)) ** 0.5))
