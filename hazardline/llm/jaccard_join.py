@@ -194,58 +194,71 @@ class Forest:
 def _traverse(percent: int, most: int | None) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        unit, side, n, reach = (np.asarray(table.column(c), np.int64) for c in ("unit", "side", "n", "reach"))
-        root = np.asarray(table.column("root"), np.int64)
+        side = np.asarray(table.column("side"), np.int64)
+        # a block that meets itself comes once and stands on both sides
+        both = np.flatnonzero(side == 2)
+        rows = np.append(np.arange(len(side)), both)
+        side = np.append(np.where(side == 2, 0, side), np.ones(len(both), np.int64))
+        copy, root, unit, n, reach = (np.asarray(table.column(c), np.int64)[rows] for c in ("copy", "root", "unit", "n", "reach"))
         order = np.lexsort((n, root, side, unit))
-        owner = np.cumsum(np.append(True, np.diff(unit[order]) != 0) | np.append(True, np.diff(side[order]) != 0)) - 1
-        forest = Forest(owner, n[order], reach[order], root[order], _lanes(table.column("bits"))[order])
-        tops, pairs, left = len(forest.levels[-1]["owner"]), [(np.zeros(0, np.int64),) * 2], 0
+        unit, side, copy = unit[order], side[order], copy[order]
+        owner = np.cumsum(np.append(True, np.diff(unit) != 0) | np.append(True, np.diff(side) != 0)) - 1
+        forest = Forest(owner, n[order], reach[order], root[order], _lanes(table.column("bits"))[rows[order]])
+        tops, pairs, cut = len(forest.levels[-1]["owner"]), [(np.zeros(0, np.int64),) * 2], np.zeros(len(unit), bool)
         for u, v in forest.meet(np.arange(0, tops, 2), np.arange(1, tops, 2), percent):
             pairs.append((u, v))
             if most and sum(len(p[0]) for p in pairs) > 10 * _OPEN:
-                left += sum(len(p[0]) for p in pairs)
-                pairs = [_nearest(forest, *map(np.concatenate, zip(*pairs, strict=True)), most)]
-                left -= len(pairs[0][0])
+                pairs = [_nearest(forest, *map(np.concatenate, zip(*pairs, strict=True)), most, cut)]
         u, v = map(np.concatenate, zip(*pairs, strict=True))
         if most:
-            left += len(u)
-            u, v = _nearest(forest, u, v, most)
-            left -= len(u)
-        copy = np.asarray(table.column("copy"), np.int64)[order]
-        return pa.table({"copy": np.minimum(copy[u], copy[v]), "leader": np.maximum(copy[u], copy[v]), "more": np.full(len(u), left > 0)})
+            u, v = _nearest(forest, u, v, most, cut)
+        # a cut set keeps ``most`` pairs, so its unit is named by at least one of them
+        left = pa.array(unit[u], mask=~cut[u])
+        return pa.table({"copy": np.minimum(copy[u], copy[v]), "leader": np.maximum(copy[u], copy[v]), "unit": left})
 
     return run
 
 
-def _nearest(forest: Forest, u: np.ndarray, v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` pairs of each set on the left that have the most bits in common for their sizes."""
+def _nearest(forest: Forest, u: np.ndarray, v: np.ndarray, most: int, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` pairs of each set on the left that have the most bits in common for their sizes; ``cut`` marks sets with more."""
     x = forest.levels[0]
     gap = x["low"][u] + x["low"][v] - 2 * _shared_bits(x["bits"][u], x["bits"][v])
     order = np.lexsort((mix(v.astype(np.uint64)), gap, u))
     u, v = u[order], v[order]
     start = np.flatnonzero(np.append(True, u[1:] != u[:-1]))[: len(u)]
     rank = np.arange(len(u)) - np.repeat(start, np.diff(np.append(start, len(u))))
+    cut[u[rank >= most]] = True
     return u[rank < most], v[rank < most]
 
 
-def by_trees(members: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """(copy, leader, more): pairs of different classes among the sets under each ``key`` of ``members``, by dual traversal.
-
-    With ``most``, a set has no more partners than that in a block pair; ``more`` tells that some were left for later.
-    """
-    sizes = members.groupBy("key", "root").agg(F.count("*").alias("of_root"))
-    rest = sizes.where(F.col("of_root") <= _BLOCK).groupBy("key").agg(F.sum("of_root").alias("of_rest"))
-    dealt = members.join(sizes, ["key", "root"]).join(rest, "key", "left")
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members`` with the block of each: one for a whole key, or several of bounded size under a key with more sets."""
     slot = lambda what, n: F.pmod(F.xxhash64(what), F.ceil(F.col(n) / _BLOCK))
+    small = members.where(F.col("times") <= _BLOCK).withColumn("block", F.xxhash64("key"))
+    hot = members.where(F.col("times") > _BLOCK)
+    sizes = hot.groupBy("key", "root").agg(F.count("*").alias("of_root"))
+    rest = sizes.where(F.col("of_root") <= _BLOCK).groupBy("key").agg(F.sum("of_root").alias("of_rest"))
     large = F.xxhash64("key", "root", slot("copy", "of_root"))
     block = F.when(F.col("of_root") > _BLOCK, large).otherwise(F.xxhash64("key", slot("root", "of_rest")))
-    dealt = stage_table(dealt.withColumn("block", block).drop("of_root", "of_rest"), "dealt")
+    hot = hot.join(sizes, ["key", "root"]).join(rest, "key", "left").withColumn("block", block)
+    return small.unionByName(hot.drop("of_root", "of_rest")).drop("times")
+
+
+def by_trees(members: DataFrame, sets: DataFrame, percent: int, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """(copy, leader), the pairs of different classes among the sets under each ``key`` of ``members`` by dual traversal, and the keys that are not done.
+
+    ``members`` has the number of its rows under a key in ``times``. With ``most``, a set has no more partners than that
+    in a block pair; keys under which some were left are not done.
+    """
+    # rows are dealt to blocks before they get their bitmaps, which are most of a row
+    dealt = _dealt(members).join(sets.select("copy", "unseen", "bits"), "copy")
+    dealt = stage_table(dealt, "dealt", once=True)
     lanes = [F.conv(F.hex(F.substring("bits", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(_LANES)]
     tops = dealt.groupBy("key", "block").agg(
         F.count("*").alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("reach").alias("reach"), F.max("unseen").alias("unseen"),
         F.min("root").alias("first"), F.max("root").alias("last"), F.array(*(F.bit_or(lane) for lane in lanes)).alias("lanes"),
     )
-    tops = stage_table(tops, "tops")
+    tops = stage_table(tops, "tops", once=True)
     both = lambda f, c: f(F.col(f"a.{c}"), F.col(f"b.{c}"))
     common = reduce(lambda x, y: x + y, (F.bit_count(F.col("a.lanes")[i].bitwiseAND(F.col("b.lanes")[i])) for i in range(_LANES)))
     overlap = F.least(both(F.least, "reach"), both(F.least, "high"), common + both(F.least, "unseen"))
@@ -255,17 +268,18 @@ def by_trees(members: DataFrame, percent: int, most: int | None) -> DataFrame:
     units = tops.alias("a").join(tops.alias("b"), fits).select(
         F.xxhash64("a.key", "a.block", "b.block").alias("unit"), F.col("a.key").alias("key"), F.col("a.block").alias("left"), F.col("b.block").alias("right"), (F.col("a.rows") + F.col("b.rows")).alias("rows")
     )
-    units = stage_table(units, "units")
+    units = stage_table(units, "units", once=True)
     rows = units.agg(F.sum("rows")).first()[0] or 0
-    sides = [
-        dealt.join(units.select("key", F.col(c).alias("block"), "unit"), ["key", "block"]).select("unit", F.lit(i).alias("side"), "copy", "root", "n", "reach", "bits")
-        for i, c in enumerate(("left", "right"))
-    ]
+    place = lambda side, c: F.struct(F.lit(side).alias("side"), F.col(c).alias("block"))
+    places = F.when(F.col("left") == F.col("right"), F.array(place(2, "left"))).otherwise(F.array(place(0, "left"), place(1, "right")))
+    sides = units.select("key", "unit", F.inline(places))
+    sides = dealt.join(sides, ["key", "block"]).select("unit", "side", "copy", "root", "n", "reach", "bits")
     group = F.pmod(F.xxhash64("unit"), F.lit(max(1, math.ceil(rows / _GROUP))))
-    met = sides[0].unionByName(sides[1]).groupBy(group.alias("group")).applyInArrow(_traverse(percent, most), "copy long, leader long, more boolean")
-    met = stage_table(met.groupBy("copy", "leader").agg(F.max("more").alias("more")), "met")
-    drop_staged(dealt, tops, units)
-    return met
+    found = stage_table(sides.groupBy(group.alias("group")).applyInArrow(_traverse(percent, most), "copy long, leader long, unit long"), "found", once=True)
+    met = stage_table(found.select("copy", "leader").distinct(), "met", once=True)
+    left = stage_table(found.where("unit IS NOT NULL").select("unit").distinct().join(units, "unit").select("key").distinct(), "left", once=True)
+    drop_staged(dealt, tops, units, found)
+    return met, left
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -294,31 +308,36 @@ def _components(spark: SparkSession, docs: DataFrame, size: int, percent: int) -
     one = F.min(F.struct("doc_id", "mark")).alias("one")
     sets = signed.where("copy is not null").groupBy("copy").agg(F.min("doc_id").alias("doc_id"), one, *(F.any_value(c).alias(c) for c in ("n", "unseen", "rare", "bits")))
     # numbers in place of digests, which would be most of every shuffle below; they are written once and then stay
-    sets = stage_table(sets.withColumnRenamed("copy", "digest").withColumn("copy", F.monotonically_increasing_id()), "sets")
+    sets = stage_table(sets.withColumnRenamed("copy", "digest").withColumn("copy", F.monotonically_increasing_id()), "sets", once=True)
     rare = sets.select("copy", "n", F.posexplode("rare").alias("pos", "key")).select("key", "copy", "n", (F.col("n") - F.col("pos")).alias("reach"))
-    shared = stage_table(rare.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "shared")
-    under = stage_table(rare.join(shared, "key"), "under")
+    shared = stage_table(rare.groupBy("key").agg(F.count("*").alias("times")).where("times > 1"), "shared", once=True)
+    under = stage_table(rare.join(shared, "key"), "under", once=True)
     drop_staged(shared)
     # a first look under each shingle at one set, so that a group of copies is one class before any tree is built
     leader = under.groupBy("key").agg(F.min(F.struct(F.xxhash64("copy", "key").alias("h"), "copy", "n", "reach")).alias("one"))
     within = (100 + percent) * F.least("reach", "one.reach") >= percent * (F.col("n") + F.col("one.n"))
-    first = under.join(stage_table(leader, "leaders"), "key").where((F.col("copy") != F.col("one.copy")) & within)
+    leaders = stage_table(leader, "leaders", once=True)
+    first = under.join(leaders, "key").where((F.col("copy") != F.col("one.copy")) & within)
     pairs = first.select(F.least("copy", "one.copy").alias("copy"), F.greatest("copy", "one.copy").alias("leader")).distinct()
     links = _compared(pairs, docs, sets, size, percent)
+    drop_staged(leaders)
     roots, checked = contract(None, links.where("linked").select("copy", "leader")), links
+    # the first look settles keys of two sets; every round settles those that it leaves no pair of
+    under = under.where("times > 2")
     for most in _ROUNDS:
         classed = under.join(roots.withColumnRenamed("node", "copy"), "copy", "left").withColumn("root", F.coalesce("root", "copy"))
-        classed = stage_table(classed, "classed")
+        classed = stage_table(classed, "classed", once=True)
         open_ = unsettled(classed, 1)
         drop_staged(classed)
         if open_.isEmpty():
             break
-        met = by_trees(open_.join(sets.select("copy", "unseen", "bits"), "copy"), percent, most)
+        met, left = by_trees(open_, sets, percent, most)
         drop_staged(open_)
-        links = _compared(met.drop("more").join(checked, ["copy", "leader"], "left_anti"), docs, sets, size, percent)
+        links = _compared(met.join(checked, ["copy", "leader"], "left_anti"), docs, sets, size, percent)
         roots, checked = contract(roots, links.where("linked").select("copy", "leader")), checked.unionByName(links)
-        if met.where("more").isEmpty():
+        if left.isEmpty():
             break
+        under = under.join(left, "key", "left_semi")
     ends = sets.join(roots.withColumnRenamed("node", "copy"), "copy", "left").select("digest", F.coalesce("root", "copy").alias("root"), "doc_id")
     ends = stage_table(ends, "ends")
     classes = stage_table(ends.groupBy("root").agg(F.min("doc_id").alias("component_id")), "classes")
@@ -330,17 +349,18 @@ def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, per
     """(copy, leader, linked) of the pairs whose bitmaps allow the threshold."""
     a, b = (sets.select("copy", "n", "bits").toDF(key, f"n_{x}", f"bits_{x}") for key, x in (("copy", "a"), ("leader", "b")))
     able = pairs.join(a, "copy").join(b, "leader").mapInArrow(lambda batches: _may_reach(batches, percent), "copy long, leader long")
-    able = stage_table(able, "able")
+    able = stage_table(able, "able", once=True)
     needed = able.select("copy").union(able.select("leader")).distinct().join(sets.select("copy", "one"), "copy")
     # one row of each set is read, by its id as well, so a text with many copies is dealt out like any other
-    needed = stage_table(needed.select("copy", F.col("one.doc_id").alias("id"), F.col("one.mark").alias("of")), "needed")
+    needed = stage_table(needed.select("copy", F.col("one.doc_id").alias("id"), F.col("one.mark").alias("of")), "needed", once=True)
     # at most 2^21 cells go out; they keep most texts that no pair needs from the shuffle
     cell = F.pmod(F.col("mark"), F.lit(_CELLS)).alias("cell")
     cells = needed.select(F.pmod(F.col("of"), F.lit(_CELLS)).alias("cell")).distinct()
     near = docs.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi")
     texts = near.join(needed, (F.col("mark") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
-    texts = stage_table(texts.groupBy("copy").agg(F.any_value("text").alias("text")), "texts")
+    # read twice, but shuffled once: both joins take the texts as they lie after the grouping
+    texts = texts.groupBy("copy").agg(F.any_value("text").alias("text"))
     both = able.join(texts, "copy").join(texts.toDF("leader", "other"), "leader").select("copy", "leader", "text", "other")
-    compared = stage_table(both.mapInArrow(_verify(size, percent), "copy long, leader long, linked boolean"), "compared")
-    drop_staged(able, needed, texts)
+    compared = stage_table(both.mapInArrow(_verify(size, percent), "copy long, leader long, linked boolean"), "compared", once=True)
+    drop_staged(able, needed)
     return compared

@@ -97,3 +97,19 @@ def test_traversal_keeps_every_pair_at_the_threshold():
     pairs = {(i, j) for i in range(30) for j in range(30, 60)}
     linked = {(i, j) for i, j in pairs if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])}
     assert linked <= met and len(met) < len(pairs) / 4
+
+
+def test_only_keys_with_partners_left_are_looked_at_again(spark):
+    texts = [" ".join(f"w{i}" for i in range(60)) + f" end{j}" for j in range(8)]
+    s = J.Sets(pa.array(texts), 4)
+    bits = s.bitmaps(len(texts))
+    unseen = s.size - J._shared_bits(bits, bits)
+    sets = spark.createDataFrame([(i, int(unseen[i]), bits[i].tobytes()) for i in range(8)], "copy long, unseen int, bits binary")
+    rows = [(1 if i < 2 else 2, i, i, int(s.size[i]), int(s.size[i]), 2 if i < 2 else 6) for i in range(8)]
+    members = spark.createDataFrame(rows, "key long, copy long, root long, n int, reach int, times long")
+    met, left = J.by_trees(members, sets, 85, 1)
+    assert [r.key for r in left.collect()] == [2]
+    assert (0, 1) in {(r.copy, r.leader) for r in met.collect()}
+    met, left = J.by_trees(members, sets, 85, None)
+    assert left.isEmpty()
+    assert {(r.copy, r.leader) for r in met.collect()} == {(0, 1)} | {(i, j) for i in range(2, 8) for j in range(i + 1, 8)}
